@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_rules, simhash, suffix_dedup
-from .common import table
+from . import chat_format, decontaminate, html_extract, importance, packing, quality_rules, simhash, suffix_dedup, token_orc, toxicity
+from .common import new_path, table
+
+TOKENIZER = "word_bpe_49k.json"
+SAMPLE_SHARE = 0.8
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +19,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "start", "stop", "edits")
 
 
+def op2_token_orc(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    path = new_path(spark, "token-ids")
+    token_orc.write(table(spark, sf_dir, "documents"), path, tokenizer or public_tokenizers.path(TOKENIZER))
+    return token_orc.read_digest(spark, path)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -23,11 +34,24 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    return chat_format.format_digest(own.unionByName(extra)).withColumnRenamed("tree", "conv_id")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.removal(table(spark, sf_dir, "documents"))
     return found.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).withColumnRenamed("key", "doc_id")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.score(table(spark, sf_dir, "documents"))
     return found.withColumnRenamed("key", "doc_id").drop("repeat_spans")
@@ -37,6 +61,15 @@ def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumnRenamed("key", "page_id")
+
+
+def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), SAMPLE_SHARE)
+    return found.withColumnRenamed("key", "doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -46,10 +79,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op2_token_orc": op2_token_orc,
         "op3_simhash": op3_simhash,
+        "op4_chat_format": op4_chat_format,
         "op5_suffix_dedup": op5_suffix_dedup,
+        "op6_toxicity": op6_toxicity,
         "op7_quality_rules": op7_quality_rules,
         "op8_best_fit": op8_best_fit,
+        "op9_html_extract": op9_html_extract,
+        "op10_importance": op10_importance,
         "pipeline": pipeline,
     }
 
