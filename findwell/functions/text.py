@@ -98,7 +98,8 @@ def tokens(col: Column) -> Column:
     numbered = F.transform(segments(col), lambda x, i: F.array(F.struct(x["seg"].alias("term"), i.alias("pos")), F.struct(x["compound"].alias("term"), i.alias("pos"))))
     kept = F.filter(F.flatten(numbered), lambda t: t["term"].isNotNull())
     folded = F.transform(kept, lambda t: F.struct(fold(t["term"]).alias("term"), t["pos"].alias("pos")))
-    return F.filter(folded, lambda t: utf16_length(t["term"]) > 1)
+    # two UTF-16 units or more: several characters, or an astral one
+    return F.filter(folded, lambda t: (F.length(t["term"]) > 1) | (F.octet_length(t["term"]) > 3))
 
 
 def terms(col: Column) -> Column:

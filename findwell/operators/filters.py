@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 
 
+def _tagged(prefix: str) -> Column:
+    return F.exists("tags", lambda t: t.startswith(prefix))
+
+
 def allowed(docs: DataFrame, path_filters=(), tag_filters=(), min_mtime: int | None = None) -> DataFrame:
     """Live documents that pass: the folded path holds each path filter, some tag starts with each tag filter."""
     tests: list[Column] = [~F.col("deleted")]
     tests += [F.col("folded_path").contains(p) for p in path_filters]
-    tests += [F.exists("tags", lambda t, f=f: t.startswith(f)) for f in tag_filters]
+    tests += [_tagged(f) for f in tag_filters]
     if min_mtime is not None:
         tests.append(F.col("mtime_ms") >= min_mtime)
     return docs.where(reduce(Column.__and__, tests))

@@ -49,13 +49,16 @@ def assign_ids(docs: DataFrame, *order: Column, name: str = "doc_id", base: int
     return placed.join(skip, "__part").withColumn(name, F.col("__skip") + F.col("__at") - 1 + base).drop("__part", "__at", "__skip")
 
 
+def _of_field(tokens: Column, field: int) -> Column:
+    return F.transform(tokens, lambda t: F.struct(F.lit(field).alias("field"), t["term"].alias("term"), t["pos"].alias("pos")))
+
+
 def postings_of(docs: DataFrame, lite: bool = False) -> DataFrame:
     """Postings of documents with a text column for each field (absent ones are empty)."""
     parts = []
     for i, name in enumerate(FIELDS):
         if name in docs.columns and not (lite and i == BODY):
-            found = F.transform(T.tokens(F.coalesce(F.col(name), F.lit(""))), lambda t, i=i: F.struct(F.lit(i).alias("field"), t["term"].alias("term"), t["pos"].alias("pos")))
-            parts.append(found)
+            parts.append(_of_field(T.tokens(F.coalesce(F.col(name), F.lit(""))), i))
     rows = docs.select("doc_id", F.explode(F.concat(*parts)).alias("t")).select("doc_id", "t.*")
     tf = [F.count_if(F.col("field") == i).cast("int").alias(TF[i]) for i in range(N)]
     positions = F.sort_array(F.collect_list(F.when(F.col("field") == BODY, F.col("pos")))).alias("positions")
