@@ -1,6 +1,6 @@
 """Operator 6: toxicity by a counterfactually regularised classifier.
 
-A logistic regression over the words that a text contains (hashed), fitted on a bounded sample of labelled rows.
+A logistic regression over the words that a text contains and their beginnings (hashed), fitted on a bounded sample of labelled rows.
 Besides the usual loss and an L2 term it has a counterfactual one: in labelled sentences identity
 terms are swapped for other identity terms (and, as such mentions are rare, put into sentences
 without any), and the squared change of the score is penalised. So naming a group cannot by itself
@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +50,19 @@ def words(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode()) & ((1 << BITS) - 1)
+def features(word: str) -> list[int]:
+    """Hashed features of a word: itself and, of longer ones, its first four and five letters."""
+    parts = [word]
+    if len(word) > 4:
+        parts.append(f"4:{word[:4]}")
+    if len(word) > 5:
+        parts.append(f"5:{word[:5]}")
+    return [zlib.crc32(x.encode()) & ((1 << BITS) - 1) for x in parts]
+
+
+def hashed(text: str) -> np.ndarray:
+    """A text's features, sorted and distinct."""
+    return np.unique(np.fromiter((b for w in words(text) for b in features(w)), np.int32))
 
 
 def held_out(key: Column) -> Column:
@@ -64,60 +76,104 @@ class Model:
     weights: dict[int, float] = field(default_factory=dict)
 
     def logit(self, text: str) -> float:
-        return self.bias + sum(self.weights.get(bucket(w), 0.0) for w in words(text))
+        return self.bias + sum(self.weights.get(int(b), 0.0) for b in hashed(text))
 
 
-class _Weights(dict):
-    """word -> weight, learnt as words come; emptied when it grows too large."""
+class _Known(dict):
+    """word -> its features that have a weight, learnt as words come; emptied when it grows too large."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > 300_000:
             self.clear()
-        out = self[word] = self.model.weights.get(bucket(word), 0.0)
+        out = self[word] = tuple(b for b in features(word) if b in self.model.weights)
+        return out
+
+    def logit(self, text: str) -> float:
+        weights = self.model.weights
+        return self.model.bias + sum([weights[b] for b in sorted({b for own in map(self.__getitem__, words(text)) for b in own})])
+
+
+@dataclass
+class Rows:
+    """Hashed texts: the features of row i are flat[begin[i] : begin[i + 1]]."""
+
+    flat: np.ndarray
+    begin: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.begin) - 1
+
+    def row(self, i: int) -> np.ndarray:
+        return self.flat[self.begin[i] : self.begin[i + 1]]
+
+    @staticmethod
+    def of(texts: list[str]) -> Rows:
+        each = [hashed(t) for t in texts]
+        return Rows(np.concatenate([np.zeros(0, np.int32), *each]), np.concatenate(([0], np.cumsum([len(x) for x in each], dtype=np.int64))))
+
+
+Swap = tuple[list[int], list[int]]  # features that come and features that go
+
+
+def counterfactuals(rows: Rows, seed: int = 5, most: int = 4000) -> list[Swap]:
+    """For labelled sentences, what changes when identity terms are swapped: first sentences that have a
+    term, then others, which get one instead of another or instead of none."""
+    rng = np.random.default_rng(seed)
+    terms = [features(w) for w in IDENTITY]
+    whole = {t[0]: t for t in terms}
+    names = np.array(sorted(whole), np.int32)
+    out: list[Swap] = []
+
+    def add(rest: np.ndarray, old: list[int]) -> None:
+        new = terms[rng.integers(len(terms))]
+        fresh = [b for b in new if b not in old and not (rest == b).any()]
+        out.append((fresh, [b for b in old if b not in new]))
+
+    if not len(rows):
         return out
+    where = np.searchsorted(rows.begin, np.flatnonzero(np.isin(rows.flat, names)), "right") - 1
+    for i in np.unique(where)[: most // 2]:
+        own = rows.row(i)
+        for t in own[np.isin(own, names)].tolist():
+            add(own[~np.isin(own, whole[t])], whole[t])
+    for i in rng.integers(0, len(rows), max(0, most - len(out))):
+        own = rows.row(i)
+        add(own, [b for b in terms[rng.integers(len(terms))] if not (own == b).any()] if rng.random() < 0.5 else [])
+    return out
 
 
 def train(
-    rows: list[set[int]], labels: np.ndarray, swaps: list[tuple[set[int], set[int]]], max_features: int = MAX_FEATURES,
-    l2: float = 2e-4, fairness: float = 1.0, rounds: int = 400,
-) -> Model:
-    """Fits a model. swaps: pairs of feature sets that differ by identity terms only."""
+    rows: Rows, labels: np.ndarray, swaps: list[Swap], max_features: int = MAX_FEATURES, l2: float = 2e-4, fairness: float = 1.0, rounds: int = 400
+) -> Model:
+    """Fits a model: logistic loss + l2 * |w|^2 / 2 + fairness * mean squared change of the score under swaps."""
     share = float(labels.mean()) if len(labels) else 0.0
     if not 0 < share < 1:
         return Model(50.0 if share == 1 else -50.0)
     n1, n0 = labels.sum(), (1 - labels).sum()
-    lengths = np.array([len(r) for r in rows])
-    flat = np.fromiter((b for r in rows for b in r), np.int64, int(lengths.sum()))
-    of = np.repeat(labels, lengths)
-    c1, c0 = np.bincount(flat[of == 1], minlength=1 << BITS), np.bincount(flat[of == 0], minlength=1 << BITS)
-    p1, p0, p = c1 / n1, c0 / n0, (c1 + c0) / (n1 + n0)
-    z = np.abs(p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    z[c1 + c0 < 4] = 0
+    of = np.repeat(labels, np.diff(rows.begin))
+    c1, c0 = (np.bincount(rows.flat[of == y], minlength=1 << BITS) for y in (1, 0))
+    p = (c1 + c0) / (n1 + n0)
+    z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+    z[c1 + c0 < 3] = 0
     top = np.argsort(-z, kind="stable")[:max_features]
-    top = top[z[top] > 4.5]
-    identity = sorted({bucket(w) for w in IDENTITY})
-    used = np.array(sorted({*top.tolist(), *identity}))
+    used = np.array(sorted({*top[z[top] > 4.0].tolist(), *(b for w in IDENTITY for b in features(w))}))
     slot = np.full(1 << BITS, -1)
     slot[used] = np.arange(len(used))
-
-    def matrix(sets: list[set[int]]) -> np.ndarray:
-        x = np.zeros((len(sets), len(used)), np.float32)
-        for i, s in enumerate(sets):
-            own = slot[list(s)] if s else np.zeros(0, np.int64)
-            x[i, own[own >= 0]] = 1
-        return x
-
-    x, y = matrix(rows), labels.astype(np.float32)
-    change = matrix([a for a, _ in swaps]) - matrix([b for _, b in swaps]) if swaps else np.zeros((0, len(used)), np.float32)
-    w, b = np.zeros(len(used), np.float32), float(np.log(share / (1 - share)))
+    x = np.zeros((len(rows), len(used)), np.float32)
+    at = slot[rows.flat]
+    x[np.repeat(np.arange(len(rows)), np.diff(rows.begin))[at >= 0], at[at >= 0]] = 1
+    change = np.zeros((len(swaps), len(used)), np.float32)
+    for i, (come, go) in enumerate(swaps):
+        change[i, slot[come]] += 1
+        change[i, slot[go]] -= 1
+    y, w, b = labels.astype(np.float32), np.zeros(len(used), np.float32), float(np.log(share / (1 - share)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):  # Adam on the whole sample
-        prob = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        gap = prob - y
+        gap = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y
         g = x.T @ gap / len(y) + l2 * w
         if len(change):
             g += 2 * fairness * (change.T @ (change @ w)) / len(change)
@@ -130,24 +186,7 @@ def train(
     return Model(float(b), {int(u): float(k) for u, k in zip(used, w) if abs(k) > 1e-4})
 
 
-def counterfactuals(rows: list[set[int]], seed: int = 5, most: int = 4000) -> list[tuple[set[int], set[int]]]:
-    """Pairs (sentence, the same with other identity terms), as hashed words; half of the pairs at least are
-    sentences that get a term."""
-    rng = np.random.default_rng(seed)
-    names = sorted({bucket(w) for w in IDENTITY})
-    known, out = set(names), []
-    having = [r for r in rows if r & known][: most // 2]
-    for r in having:
-        out.append((r, (r - known) | {names[rng.integers(len(names))]}))
-    if rows:
-        for i in rng.integers(0, len(rows), most - len(out)):
-            a, b = rng.integers(0, len(names), 2)
-            plain = rows[i] - known
-            out.append((plain | {names[a]}, plain | {names[b]} if rng.random() < 0.5 else plain))
-    return out
-
-
-def sample(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_rows: int = MAX_ROWS) -> tuple[list[set[int]], np.ndarray]:
+def sample(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_rows: int = MAX_ROWS) -> tuple[Rows, np.ndarray]:
     """Hashed words and labels of at most about ``max_rows`` labelled rows that are not held out."""
     named = labels.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where("id is not null and y is not null")
     usable = named.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
@@ -156,14 +195,16 @@ def sample(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, ma
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted({bucket(w) for w in words(t)}) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["y", "words"])
+            found = Rows.of(batch.column(1).to_pylist())
+            each = pa.ListArray.from_arrays(pa.array(found.begin, pa.int32()), pa.array(found.flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), each], ["id", "y", "words"])
 
-    # max_rows bounds what is broadcast
+    # max_rows bounds what is broadcast and what is collected
     picked = keyed_texts(df, key, text).join(F.broadcast(some), F.col("key") == F.col("id")).select("y", "text", "key")
-    got = picked.mapInArrow(run, "y int, words array<int>").toArrow()
-    order = sorted(zip(got.column("y").to_pylist(), got.column("words").to_pylist()))  # whatever order tasks end in
-    return [set(ws) for _, ws in order], np.array([y for y, _ in order], np.int64)
+    got = picked.mapInArrow(run, "id long, y int, words array<int>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")]).combine_chunks()
+    each = got.column("words").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    begin = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(each).to_numpy(), dtype=np.int64)))
+    return Rows(each.flatten().to_numpy(), begin), got.column("y").to_numpy().astype(np.int64)
 
 
 def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
@@ -176,10 +217,9 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
     told = df.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES + identity weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = _Weights(told.value)
-        get, bias = weights.__getitem__, told.value.bias
+        known = _Known(told.value)
         for batch in batches:
-            z = np.array([bias + sum(map(get, words(t))) for t in batch.column("text").to_pylist()], np.float64)
+            z = np.array([known.logit(t) for t in batch.column("text").to_pylist()], np.float64)
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["key", "held_out", "score", "predicted"])
 
