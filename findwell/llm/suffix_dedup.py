@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,28 +43,30 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and its inverse, mod 2**64, for i < n."""
+    if len(_power[0]) < n:
+        size = max(n, 2 * len(_power[0]))
+        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+        with np.errstate(over="ignore"):
+            _power[:] = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, x, np.uint64)))) for x in (_BASE, inverse)]
+    return _power[0][:n], _power[1][:n]
+
+
+_power = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def rolling(data: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each ``size``-byte string, by doubling; one for each start that fits."""
+    """Hash of each ``size``-byte string (one for each start that fits): a polynomial over scrambled bytes,
+    from prefix sums."""
     n = len(data) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    power, inverse = _powers(len(data))
     with np.errstate(over="ignore"):
-        power, step, block = _BASE, 1, _TABLE[data]
-        out, done = None, 0
-        while True:
-            if size & step:
-                if out is None:
-                    out = block
-                else:  # done bytes first, then this block
-                    m = len(block) - done
-                    out = out[:m] * power + block[done : done + m]
-                done += step
-            if 2 * step > size:
-                break
-            m = len(block) - step
-            block = block[:m] * power + block[step : step + m]
-            power, step = power * power, step * 2
-        return mix64(out[:n])
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_TABLE[data] * power, out=total[1:])
+        return (total[size:] - total[:-size]) * inverse[:n]
 
 
 def sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -78,16 +81,15 @@ def sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: int = SEED) -> np.ndarray:
     """Starts (in data) of the anchors of all ``length``-byte windows within one document each."""
     width = length - seed + 1
-    h = rolling(data, seed)
+    h = (rolling(data, seed) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     if len(h) < width:
         return np.zeros(0, np.int64)
-    starts = np.arange(len(h) - width + 1)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    whole = doc[starts] == doc[starts + length - 1]
     low = sliding(h, width, True)
     # a position is an anchor if it equals the minimum of some whole window that holds it
-    top = np.zeros(len(low) + 2 * (width - 1), np.uint64)
-    top[width - 1 : width - 1 + len(low)] = np.where(whole, low, np.uint64(0))
+    top = np.zeros(len(low) + 2 * (width - 1), np.uint32)
+    top[width - 1 : width - 1 + len(low)] = low
+    for cut in offsets[1:-1].tolist():  # windows across two documents count for nothing
+        top[max(width - 1, cut - length + width) : cut + width - 1] = 0
     hit = sliding(top, width, False)[: len(h)] == h
     return np.flatnonzero(hit)
 
@@ -99,16 +101,16 @@ class Family:
         self.base = base
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = []  # heads in order, row ids, already reported
 
-    def add(self, heads: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Takes a batch; returns rows (of this and of earlier batches) not yet reported whose
-        head occurs again."""
+    def add(self, heads: np.ndarray, rows: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """Takes a batch (many: the row stands for several places); returns rows (of this and of
+        earlier batches) not yet reported whose head occurs again."""
         order = np.argsort(heads, kind="stable")
-        heads, rows = heads[order], rows[order]
+        heads, rows, many = heads[order], rows[order], many[order]
         first = np.ones(len(heads), bool)
         first[1:] = heads[1:] != heads[:-1]
         last = np.ones(len(heads), bool)
         last[:-1] = first[1:]
-        again = ~(first & last)  # within the batch
+        again = ~(first & last) | many  # within the batch
         told = []
         for level in self.levels:
             if level is None:
@@ -152,11 +154,16 @@ def _anchor_rows(length: int, seed: int):
                 if not len(spots):
                     continue
                 doc = np.searchsorted(at, spots, "right") - 1
-                heads = np.lib.stride_tricks.sliding_window_view(own, seed)[spots]
-                keys = batch.column(0).take(pa.array(lo + doc))
+                # equal heads of a block travel as one row with all their places. Bytes are shifted by one, as numpy's
+                # strings lose zeros at their end and UTF-8 has no 0xFF
+                heads = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(own, seed)[spots]) + np.uint8(1)
+                kinds, kind, many = np.unique(heads.view(f"S{seed}")[:, 0], return_inverse=True, return_counts=True)
+                by = np.argsort(kind, kind="stable")
+                ends = pa.array(np.concatenate(([0], np.cumsum(many))), pa.int32())
+                rows = batch.column(0).take(pa.array(lo + doc[by]))
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(seed), len(kinds), [None, pa.py_buffer(kinds)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.FixedSizeBinaryArray.from_buffers(pa.binary(seed), len(spots), [None, pa.py_buffer(np.ascontiguousarray(heads))]).cast(pa.binary()), keys, pa.array(spots - at[doc])],
-                    ["head", "row", "pos"],
+                    [packed, pa.ListArray.from_arrays(ends, rows), pa.ListArray.from_arrays(ends, pa.array((spots - at[doc])[by]))], ["head", "rows", "spots"]
                 )
 
     return run
@@ -164,24 +171,19 @@ def _anchor_rows(length: int, seed: int):
 
 def _family_scan(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, rows, places = Family(), [], 0
+        family, taken, begin = Family(), [], [0]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            data, _ = as_bytes(batch.column(0))
-            # zero bytes at the end do not count in numpy's strings; the bytes are shifted to 1..256 mod 256, and 0xFF, which UTF-8 lacks, becomes 0
-            heads = (np.ascontiguousarray(data) + np.uint8(1)).view(f"S{seed}")
-            rows.append((places, batch.column(1).to_numpy(), batch.column(2).to_numpy()))
-            found = family.add(heads, np.arange(places, places + len(heads)))
-            places += len(heads)
-            if len(found):
-                begin = np.array([r[0] for r in rows])
-                which = np.searchsorted(begin, found, "right") - 1
-                ids, pos = np.empty(len(found), np.int64), np.empty(len(found), np.int64)
-                for w in np.unique(which):
-                    m = which == w
-                    ids[m], pos[m] = rows[w][1][found[m] - begin[w]], rows[w][2][found[m] - begin[w]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(pos)], ["row", "pos"])
+            heads = as_bytes(batch.column(0))[0].view(f"S{seed}")
+            rows, spots = batch.column(1), batch.column(2)
+            found = family.add(heads, np.arange(begin[-1], begin[-1] + len(heads)), pa.compute.list_value_length(rows).to_numpy() > 1)
+            taken.append((rows, spots))
+            begin.append(begin[-1] + len(heads))
+            which = np.searchsorted(begin, found, "right") - 1
+            for w in np.unique(which):
+                at = pa.array(found[which == w] - begin[w])
+                yield pa.RecordBatch.from_arrays([x.take(at).flatten() for x in taken[w]], ["row", "pos"])
 
     return run
 
@@ -218,72 +220,77 @@ def _contexts(length: int, seed: int):
     return run
 
 
-def matched(contexts: list[bytes], left: np.ndarray, copies: np.ndarray, length: int, seed: int) -> np.ndarray:
-    """For contexts of one anchor: bool [context, offset], whether the ``length``-byte string that has the
-    anchor at that offset occurs twice or more, counting each context ``copies`` times."""
+def matched(contexts: list[bytes], left: np.ndarray, copies: np.ndarray, group: np.ndarray, length: int, seed: int, cells: int = 1 << 21) -> np.ndarray:
+    """bool [context, offset]: whether the ``length``-byte string that has the context's anchor at that
+    offset occurs twice or more in the context's group, counting each context ``copies`` times."""
     reach, m = length - seed, len(contexts)
     size = np.array([len(c) for c in contexts])
     grid = np.zeros((m, 2 * reach + seed), np.uint8)
-    for i, c in enumerate(contexts):
-        grid[i, reach - left[i] : reach - left[i] + len(c)] = np.frombuffer(c, np.uint8)
-    # the string of offset o starts at column reach - o; columns are taken in blocks, to bound memory
+    for i, (c, o) in enumerate(zip(contexts, left.tolist())):
+        grid[i, reach - o : reach - o + len(c)] = np.frombuffer(c, np.uint8)
+    power, _ = _powers(2 * reach + seed)
+    salt = mix64(group.astype(np.uint64) + np.uint64(1))[:, None]
     hit = np.zeros((m, reach + 1), bool)
-    span = reach + 1 if m <= 4096 else 64
+    # the string of offset o starts at column reach - o; columns are taken in blocks, to bound memory
+    span = max(1, min(reach + 1, cells // m))
     for c0 in range(0, reach + 1, span):
         column = np.arange(c0, min(c0 + span, reach + 1))
-        wide = len(column) + length - 1
         h = np.empty((m, len(column)), np.uint64)
-        for lo in range(0, m, 1024):
-            part = np.ascontiguousarray(grid[lo : lo + 1024, c0 : c0 + wide])
-            full = np.zeros(part.size, np.uint64)
-            flat = rolling(part.reshape(-1), length)
-            full[: len(flat)] = flat
-            h[lo : lo + 1024] = full.reshape(part.shape)[:, : len(column)]
+        with np.errstate(over="ignore"):
+            for lo in range(0, m, 512):
+                part = grid[lo : lo + 512, c0 : c0 + len(column) + length - 1]
+                total = np.zeros((len(part), part.shape[1] + 1), np.uint64)
+                np.cumsum(_TABLE[part] * power[: part.shape[1]], axis=1, out=total[:, 1:])
+                h[lo : lo + 512] = total[:, length:] - total[:, :-length]
+            # strings of one hash are compared within their group and column only
+            h = (h ^ salt) * np.uint64(0xBF58476D1CE4E5B9) + mix64(column.astype(np.uint64) + np.uint64(1 << 32))[None, :]
         whole = (column[None, :] >= (reach - left)[:, None]) & (column[None, :] + length <= (reach - left + size)[:, None])
-        own = whole & (copies > 1)[:, None]
-        if m > 1:
-            by = np.argsort(h, axis=0, kind="stable")
-            s, ok = np.take_along_axis(h, by, 0), np.take_along_axis(whole, by, 0)
-            # padding may hash alike but is never whole, and whole strings of one hash are neighbours or parted by such
-            order = np.lexsort((~ok, s), axis=0) if not ok.all() else None
-            if order is not None:
-                by, s, ok = np.take_along_axis(by, order, 0), np.take_along_axis(s, order, 0), np.take_along_axis(ok, order, 0)
-            same = (s[1:] == s[:-1]) & ok[1:] & ok[:-1]
-            twice = np.zeros(h.shape, bool)
-            twice[1:] |= same
-            twice[:-1] |= same
-            back = np.zeros_like(twice)
-            np.put_along_axis(back, by, twice, 0)
-            own |= back
-        hit[:, column] = own
+        at = np.flatnonzero(whole)
+        own = h.reshape(-1)[at]
+        by = np.argsort(own)
+        own, at = own[by], at[by]
+        same = own[1:] == own[:-1]
+        block = (whole & (copies > 1)[:, None]).reshape(-1)
+        block[at[1:][same]] = True
+        block[at[:-1][same]] = True
+        hit[:, column] = block.reshape(m, len(column))
     return hit[:, ::-1]  # by offset
 
 
-def _windows(length: int, seed: int):
-    reach = length - seed
-    out = pa.schema([("row", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
-
-    def run(group: pa.Table) -> pa.Table:
-        contexts = group.column("context").to_pylist()
-        left = group.column("left").to_numpy()
-        rows, spots = group.column("rows").to_pylist(), group.column("spots").to_pylist()
-        kinds: dict[tuple[bytes, int], int] = {}
-        kind = np.array([kinds.setdefault(x, len(kinds)) for x in zip(contexts, left.tolist())])
-        copies = np.bincount(kind, weights=[len(r) for r in rows]).astype(np.int64)
-        hit = matched([c for c, _ in kinds], np.array([o for _, o in kinds]), copies, length, seed)
-        # runs of offsets lo..hi cover [spot - hi, spot - lo + length)
-        edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        begin, end = np.argwhere(edge == 1), np.argwhere(edge == -1)
-        runs: list[list[tuple[int, int]]] = [[] for _ in kinds]
-        for (k, a), (_, b) in zip(begin.tolist(), end.tolist()):
-            runs[k].append((a, b - 1))
-        row_out, lo_out, hi_out = [], [], []
-        for i, k in enumerate(kind.tolist()):
-            for a, b in runs[k]:
-                row_out += rows[i]
-                lo_out += [s - b for s in spots[i]]
-                hi_out += [s - a + length for s in spots[i]]
-        return pa.table([pa.array(row_out, pa.int64()), pa.array(lo_out, pa.int64()), pa.array(hi_out, pa.int64())], out)
+def _windows(length: int, seed: int, some: int = 4096):
+    """Whole partitions of contexts, all of a head in one: the ranges that are covered."""
+
+    def ranges(groups: list[dict], out: tuple[list, list, list]) -> None:
+        contexts = [(c, o, g) for g, kinds in enumerate(groups) for c, o in kinds]
+        places = [p for kinds in groups for p in kinds.values()]
+        hit = matched(
+            [c for c, _, _ in contexts], np.array([o for _, o, _ in contexts]), np.array([len(p) for p in places]), np.array([g for _, _, g in contexts]), length, seed
+        )
+        # runs of offsets a..b cover [spot - b, spot - a + length)
+        padded = np.zeros((len(contexts), hit.shape[1] + 2), np.int8)
+        padded[:, 1:-1] = hit
+        edge = np.diff(padded, axis=1)
+        for (k, a), (_, b) in zip(np.argwhere(edge == 1).tolist(), np.argwhere(edge == -1).tolist()):
+            for row, spot in places[k]:
+                out[0].append(row)
+                out[1].append(spot - b + 1)
+                out[2].append(spot - a + length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads: dict[bytes, dict[tuple[bytes, int], list[tuple[int, int]]]] = {}
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("head", "context", "left", "rows", "spots")]
+            for head, context, left, rows, spots in zip(*columns):
+                heads.setdefault(head, {}).setdefault((context, left), []).extend(zip(rows, spots))
+        todo, n = [], 0
+        for i, kinds in enumerate(heads.values()):
+            todo.append(kinds)
+            n += len(kinds)
+            if n >= some or i == len(heads) - 1:
+                out: tuple[list, list, list] = ([], [], [])
+                ranges(todo, out)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["row", "lo", "hi"])
+                todo, n = [], 0
 
     return run
 
@@ -297,7 +304,7 @@ def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(row, ranges array<struct<lo, hi>>) of rows with repeats, from the output of _rows."""
-    anchored = rows.where(F.octet_length("body") >= length).select("row", "body").mapInArrow(_anchor_rows(length, seed), "head binary, row long, pos long")
+    anchored = rows.where(F.octet_length("body") >= length).select("row", "body").mapInArrow(_anchor_rows(length, seed), "head binary, rows array<long>, spots array<long>")
     dealt = anchored.repartition(F.xxhash64("head"))
     twice = materialize(dealt.mapInArrow(_family_scan(seed), "row long, pos long"), "anchors")
     places = twice.groupBy("row").agg(F.collect_set("pos").alias("spots"))
@@ -305,7 +312,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     near = rows.join(places.hint("shuffle_hash"), "row").mapInArrow(
         _contexts(length, seed), "head binary, context binary, left long, rows array<long>, spots array<long>"
     )
-    ranges = near.groupBy("head").applyInArrow(_windows(length, seed), "row long, lo long, hi long")
+    ranges = near.repartition(F.xxhash64("head")).mapInArrow(_windows(length, seed), "row long, lo long, hi long")
     return ranges.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
 
 
