@@ -7,13 +7,14 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The named entities that are decoded; others stay as they are.
 ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "amp": "&"}
 _NUMERIC = re.compile(r"&#(?:[xX]([0-9a-fA-F]+)|([0-9]+));")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _numeric_entities(values: pd.Series) -> pd.Series:
     def one(m: re.Match) -> str:
         code = int(m[1], 16) if m[1] else int(m[2])

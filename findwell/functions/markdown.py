@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from .text import fold
 
@@ -62,7 +63,7 @@ def leaves(value: object) -> list[str]:
     return [str(value)]
 
 
-@F.pandas_udf("aliases string, tags array<string>, texts string")
+@F.pandas_udf(StructType([StructField("aliases", StringType()), StructField("tags", ArrayType(StringType())), StructField("texts", StringType())]))
 def frontmatter_fields(documents: pd.Series) -> pd.DataFrame:
     """From front matter as JSON (any nesting): aliases, tags, and the other leaves. Malformed JSON counts as none."""
     rows = []

@@ -16,8 +16,9 @@ from functools import cache
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 RUN = r"[\p{L}\p{N}]+"
 # a boundary before an upper-case letter that follows anything else, and before the last upper-case letter of an acronym
@@ -51,12 +52,14 @@ def _decompositions() -> tuple[str, str, str]:
 
 
 def fold(col: Column) -> Column:
-    """Compatibility-decomposed, without marks, lower-cased; exact for characters that decompose to one."""
+    """Compatibility-decomposed, without marks, lower-cased; exact for characters that decompose to one. ASCII
+    values, told by their size, are only lower-cased."""
     one, to, _ = _decompositions()
-    return F.lower(F.regexp_replace(F.translate(col, one, to), r"\p{M}", ""))
+    full = F.lower(F.regexp_replace(F.translate(col, one, to), r"\p{M}", ""))
+    return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(full)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold_any(values: pd.Series) -> pd.Series:
     return values.map(lambda s: None if s is None else fold_text(s))
 
@@ -86,9 +89,11 @@ def segments(col: Column) -> Column:
     runs = F.regexp_extract_all(blank_schemes(col), F.lit(f"({RUN})"), 1)
 
     def cut(run: Column) -> Column:
+        rest = F.substring(run, 2, 1 << 30)
         parts = F.split(run, HUMP)
-        whole = F.when(F.size(parts) > 1, run)
-        return F.transform(parts, lambda s, i: F.struct(s.alias("seg"), F.when(i == 0, whole).alias("compound")))
+        pieces = F.transform(parts, lambda s, i: F.struct(s.alias("seg"), F.when((i == 0) & (F.size(parts) > 1), run).alias("compound")))
+        # no upper-case letter after the first character: nothing to cut
+        return F.when(F.lower(rest) == rest, F.array(F.struct(run.alias("seg"), F.lit(None).cast("string").alias("compound")))).otherwise(pieces)
 
     return F.flatten(F.transform(runs, cut))
 
@@ -98,8 +103,24 @@ def tokens(col: Column) -> Column:
     numbered = F.transform(segments(col), lambda x, i: F.array(F.struct(x["seg"].alias("term"), i.alias("pos")), F.struct(x["compound"].alias("term"), i.alias("pos"))))
     kept = F.filter(F.flatten(numbered), lambda t: t["term"].isNotNull())
     folded = F.transform(kept, lambda t: F.struct(fold(t["term"]).alias("term"), t["pos"].alias("pos")))
-    # two UTF-16 units or more: several characters, or an astral one
-    return F.filter(folded, lambda t: (F.length(t["term"]) > 1) | (F.octet_length(t["term"]) > 3))
+    return F.filter(folded, lambda t: long_enough(t["term"]))
+
+
+def long_enough(term: Column) -> Column:
+    """Two UTF-16 units or more: several characters, or an astral one."""
+    return (F.length(term) > 1) | (F.octet_length(term) > 3)
+
+
+def token_rows(df: DataFrame, key: str, fields: dict[int, Column]) -> DataFrame:
+    """(key, field, term, pos): the tokens of several text columns as rows. Only the cutting works on arrays; folding is
+    done row by row in generated code."""
+
+    def numbered(field: int, col: Column) -> Column:
+        return F.transform(segments(col), lambda x, i: F.struct(F.lit(field).alias("field"), x["seg"].alias("seg"), x["compound"].alias("compound"), i.alias("pos")))
+
+    cut = df.select(key, F.explode(F.concat(*[numbered(i, c) for i, c in fields.items()])).alias("s"))
+    pairs = cut.select(key, "s.field", "s.pos", F.explode(F.when(F.col("s.compound").isNull(), F.array("s.seg")).otherwise(F.array("s.seg", "s.compound"))).alias("raw"))
+    return pairs.select(key, "field", fold(F.col("raw")).alias("term"), "pos").where(long_enough(F.col("term")))
 
 
 def terms(col: Column) -> Column:

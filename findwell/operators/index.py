@@ -49,17 +49,16 @@ def assign_ids(docs: DataFrame, *order: Column, name: str = "doc_id", base: int
     return placed.join(skip, "__part").withColumn(name, F.col("__skip") + F.col("__at") - 1 + base).drop("__part", "__at", "__skip")
 
 
-def _of_field(tokens: Column, field: int) -> Column:
-    return F.transform(tokens, lambda t: F.struct(F.lit(field).alias("field"), t["term"].alias("term"), t["pos"].alias("pos")))
+def _spread(docs: DataFrame) -> DataFrame:
+    """Tokenizing is work for the processor: an input of fewer partitions than cores is dealt out first."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def postings_of(docs: DataFrame, lite: bool = False) -> DataFrame:
     """Postings of documents with a text column for each field (absent ones are empty)."""
-    parts = []
-    for i, name in enumerate(FIELDS):
-        if name in docs.columns and not (lite and i == BODY):
-            parts.append(_of_field(T.tokens(F.coalesce(F.col(name), F.lit(""))), i))
-    rows = docs.select("doc_id", F.explode(F.concat(*parts)).alias("t")).select("doc_id", "t.*")
+    fields = {i: F.coalesce(F.col(name), F.lit("")) for i, name in enumerate(FIELDS) if name in docs.columns and not (lite and i == BODY)}
+    rows = T.token_rows(_spread(docs), "doc_id", fields)
     tf = [F.count_if(F.col("field") == i).cast("int").alias(TF[i]) for i in range(N)]
     positions = F.sort_array(F.collect_list(F.when(F.col("field") == BODY, F.col("pos")))).alias("positions")
     return rows.groupBy("term", "doc_id").agg(*tf, positions)
@@ -76,10 +75,8 @@ def stats_of(docs: DataFrame) -> DataFrame:
     return docs.where(~F.col("deleted")).agg(F.count("*").alias("n"), *means)
 
 
-def build_index(docs: DataFrame, lite: bool = False) -> Index:
-    """Index of documents: doc_id, path, and any of basename, mtime_ms, size, doc_type, tags and the
-    fields' texts. ``lite`` leaves bodies out."""
-    postings = postings_of(docs, lite)
+def _described(docs: DataFrame, postings: DataFrame, lite: bool) -> DataFrame:
+    """The docs relation: metadata with defaults, field lengths, nothing deleted."""
     lengths = postings.groupBy("doc_id").agg(*[F.sum(t).cast("int").alias(c) for t, c in zip(TF, LEN)])
     out = docs.drop("tags") if "tags" in docs.columns and dict(docs.dtypes)["tags"] == "string" else docs
     if "tag_list" in out.columns:
@@ -89,18 +86,38 @@ def build_index(docs: DataFrame, lite: bool = False) -> Index:
         if name not in out.columns:
             out = out.withColumn(name, value)
     kept = out.select("doc_id", "path", T.fold(F.col("path")).alias("folded_path"), *defaults)
-    zero = {c: 0 for c in LEN}
-    joined = kept.join(lengths, "doc_id", "left").na.fill(zero).withColumn("deleted", F.lit(False))
-    if lite:
-        joined = joined.withColumn("body", F.lit(""))
+    joined = kept.join(lengths, "doc_id", "left").na.fill({c: 0 for c in LEN}).withColumn("deleted", F.lit(False))
+    return joined.withColumn("body", F.lit("")) if lite else joined
+
+
+def build_index(docs: DataFrame, lite: bool = False) -> Index:
+    """Index of documents: doc_id, path, and any of basename, mtime_ms, size, doc_type, tags and the
+    fields' texts. ``lite`` leaves bodies out."""
+    postings = postings_of(docs, lite)
+    joined = _described(docs, postings, lite)
     return Index(joined, postings, dictionary_of(postings), stats_of(joined))
 
 
-def save(index: Index, path: str) -> None:
+def build_and_save(docs: DataFrame, path: str, lite: bool = False) -> None:
+    """As build_index and save, but texts are tokenized once: the other relations are made from the written postings."""
+    spark = docs.sparkSession
+    _write_postings(postings_of(docs, lite), path)
+    postings = spark.read.parquet(f"{path}/postings")
+    joined = _described(docs, postings, lite)
+    save(Index(joined, postings, dictionary_of(postings), stats_of(joined)), path, postings=False)
+
+
+def _write_postings(postings: DataFrame, path: str) -> None:
+    placed = postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
+    placed.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
+
+
+def save(index: Index, path: str, postings: bool = True) -> None:
     """Parquet, with postings and dictionary in order of terms, so that exact and prefix lookups skip row groups."""
     spark = index.docs.sparkSession
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    index.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
+    if postings:
+        _write_postings(index.postings, path)
     index.dictionary.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/dictionary")
     stats_of(spark.read.parquet(f"{path}/docs")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
     meta = json.dumps({"schema": SCHEMA_VERSION, "tokenizer": TOKENIZER_VERSION})

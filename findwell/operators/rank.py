@@ -66,7 +66,9 @@ def contributions(index: Index, groups: DataFrame, fields: tuple[int, ...], broa
     scored = scored.withColumn("t", tnorm(fields)).where("t > 0")
     contrib = idf(F.col("n"), F.col("df")) * F.col("t") / (K.K1 + F.col("t"))
     best = F.max(F.struct(contrib.alias("contrib"), (-F.col("variant_rank")).alias("r"), F.col("term"))).alias("best")
-    return scored.groupBy("query_id", "group_id", "weight", "doc_id").agg(best).select("query_id", "group_id", "weight", "doc_id", "best.contrib", "best.term", (-F.col("best.r")).alias("variant_rank"))
+    # one shuffle serves this aggregation and the next one
+    dealt = scored.repartition("query_id", "doc_id")
+    return dealt.groupBy("query_id", "group_id", "weight", "doc_id").agg(best).select("query_id", "group_id", "weight", "doc_id", "best.contrib", "best.term", (-F.col("best.r")).alias("variant_rank"))
 
 
 def min_window(lists: Column) -> Column:
@@ -87,8 +89,17 @@ class RankOptions:
     now_ms: int
     limit: int = K.DEFAULT_LIMIT
     title_only: bool = False
-    broadcast: bool = True
+    broadcast: bool = True  # the query relation is small
     rescore_top: int = K.RESCORE_TOP
+    queries: int | None = None  # how many there are, if known: bounds the rows of the second phase
+
+    @property
+    def few(self) -> bool:
+        """Whether the second phase has few rows: at most this many documents for each query, a handful of terms each."""
+        return self.queries is not None and self.queries * max(self.rescore_top, self.limit) <= FEW
+
+
+FEW = 20_000
 
 
 def _steady(score: str) -> Column:
@@ -117,11 +128,10 @@ def rank(index: Index, groups: DataFrame, options: RankOptions, phrases: DataFra
 
     # phase two: positions of the winning terms, for the best documents only
     wanted = top.select("query_id", "doc_id", F.explode("matched").alias("term"))
-    asked = groups.select(F.col("variant").alias("term")).distinct()
     near = index.postings.where(F.size("positions") > 0).select("term", "doc_id", "positions")
-    near = near.join(F.broadcast(asked) if options.broadcast else asked, "term", "left_semi")
-    lists = wanted.join(near, ["term", "doc_id"]).groupBy("query_id", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
-    scored = top.join(lists, ["query_id", "doc_id"], "left")
+    hint = F.broadcast if options.few else lambda df: df
+    lists = near.join(hint(wanted), ["term", "doc_id"]).groupBy("query_id", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    scored = top.join(hint(lists), ["query_id", "doc_id"], "left")
     window = F.when(F.size(F.map_values("at")) >= 2, min_window(F.map_values("at")))
     close = F.when((window <= K.PROXIMITY_WINDOW) & (F.col("place") <= options.rescore_top), 1 + K.PROXIMITY_MAX * (1 - window / K.PROXIMITY_WINDOW)).otherwise(1.0)
     scored = scored.withColumn("score", F.col("first_score") * close)

@@ -118,7 +118,7 @@ def scores(spark: SparkSession, sf_dir: str, raw: str, **options) -> DataFrame:
 
 @query(f"WITH {D}, f AS (SELECT doc_id, 6 AS field, body AS t FROM d), {tokens_sql('f')} SELECT doc_id, pos, term FROM tk")
 def tokenize_terms(spark, sf_dir):
-    return corpus(spark, sf_dir).select("doc_id", F.explode(T.tokens(F.col("body"))).alias("t")).select("doc_id", F.col("t.pos").alias("pos"), F.col("t.term").alias("term"))
+    return T.token_rows(corpus(spark, sf_dir), "doc_id", {K.BODY: F.col("body")}).select("doc_id", "pos", "term")
 
 
 @query(r"WITH v AS (SELECT unnest(['Perché', 'naïve', 'ÀÉÎ', 'Straße', 'ÑANDÚ', 'plain']) AS raw) SELECT raw, lower(strip_accents(raw)) AS folded FROM v")

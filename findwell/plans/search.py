@@ -99,10 +99,10 @@ def search_many(
     small = len(rows) + K.PREFIX_CAP * len(prefixes) <= SMALL
     spoken = spark.createDataFrame(phrases, PHRASES) if phrases else None
     restrict = _restriction(index, parsed, path_filters, tag_filters, min_mtime)
-    options = RankOptions(now_ms, limit, title_only, small, rescore_top)
+    options = RankOptions(now_ms, limit, title_only, small, rescore_top, len(parsed))
     if fuzzy == "always" and near:
         wide = groups.unionByName(_fuzzy_groups(index, near, [(q, t) for q, p in parsed.items() for t in p.exact]))
-        found = rank(index, wide, RankOptions(now_ms, limit, title_only, False, rescore_top), spoken, restrict)
+        found = rank(index, wide, RankOptions(now_ms, limit, title_only, False, rescore_top, len(parsed)), spoken, restrict)
     else:
         found = rank(index, groups, options, spoken, restrict)
         if fuzzy == "on-sparse" and near:
@@ -114,10 +114,10 @@ def search_many(
                 more = _fuzzy_groups(index, again, [(q, t) for q in sparse for t in parsed[q].exact])
                 changed = spark.createDataFrame([(q,) for q in sparse], "query_id long")
                 wide = groups.join(F.broadcast(changed), "query_id", "left_semi").unionByName(more)
-                second = rank(index, wide, RankOptions(now_ms, limit, title_only, False, rescore_top), spoken, restrict)
+                second = rank(index, wide, RankOptions(now_ms, limit, title_only, False, rescore_top, len(parsed)), spoken, restrict)
                 found = found.join(F.broadcast(changed), "query_id", "left_anti").unionByName(second)
     described = index.docs.select("doc_id", "path", "basename", "doc_type", "tags", "mtime_ms")
-    return found.join(described, "doc_id").select(*empty.columns)
+    return described.join(F.broadcast(found) if options.few else found, "doc_id").select(*empty.columns)
 
 
 def search(index: Index, raw: str, now_ms: int, **options) -> DataFrame:
