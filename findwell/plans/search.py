@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -15,13 +17,33 @@ from ..operators.rank import GROUPS, PHRASES, RankOptions, idf, rank
 from .parser import ParsedQuery, parse_query
 
 SMALL = 50_000  # rows of a query relation up to which it is broadcast
+PUSHED = 200  # terms up to which they are written into the scan's filter
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+
+
+def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows that the driver has, as a local relation (no job reads it)."""
+    fields = [f.split(" ", 1) for f in schema.split(", ")]
+    columns = list(zip(*rows))
+    return spark.createDataFrame(pa.table([pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields]))
+
+
+def _narrowed(index: Index, exact: set[str], prefixes: set[str]) -> Index:
+    """Only the postings and terms that can take part: a filter that reaches the Parquet scan."""
+    if len(exact) + len(prefixes) > PUSHED:
+        return index
+    test = F.col("term").isin(sorted(exact))
+    for p in sorted(prefixes):
+        test = test | F.col("term").startswith(p)
+    return replace(index, postings=index.postings.where(test), dictionary=index.dictionary.where(test))
 
 
 def _prefix_groups(index: Index, wanted: list[tuple[int, int, str]]) -> DataFrame:
     """Group rows of prefix expansions for (query_id, group_id, prefix): the most frequent terms, without the
     prefix itself. Terms meet prefixes by equality on their first characters."""
     spark = index.docs.sparkSession
-    asked = spark.createDataFrame(wanted, "query_id long, group_id int, prefix string")
+    asked = _local(spark, wanted, "query_id long, group_id int, prefix string")
     if len(wanted) == 1:  # a range scan of the sorted dictionary
         q, g, p = wanted[0]
         found = prefix_terms(index.dictionary, p).select("term", "df", F.lit(p).alias("prefix"))
@@ -37,8 +59,8 @@ def _prefix_groups(index: Index, wanted: list[tuple[int, int, str]]) -> DataFram
 
 def _fuzzy_groups(index: Index, wanted: list[tuple[int, int, str]], exact: list[tuple[int, str]]) -> DataFrame:
     spark = index.docs.sparkSession
-    targets = spark.createDataFrame(wanted, "query_id long, group_id int, target string")
-    known = spark.createDataFrame(exact, "query_id long, term string")
+    targets = _local(spark, wanted, "query_id long, group_id int, target string")
+    known = _local(spark, exact, "query_id long, term string")
     found = Z.fuzzy_candidates_many(index.dictionary, F.broadcast(targets) if len(wanted) <= SMALL else targets).join(known, ["query_id", "term"], "left_anti")
     place = F.row_number().over(Window.partitionBy("query_id", "group_id").orderBy("dist", "term"))
     return found.select("query_id", "group_id", F.lit(K.FUZZY_WEIGHT).alias("weight"), F.col("term").alias("variant"), place.alias("variant_rank"))
@@ -57,13 +79,13 @@ def _restriction(index: Index, parsed: dict[int, ParsedQuery], path_filters, tag
         if shared:
             rows = rows.join(allowed(index.docs, path_filters, tag_filters, min_mtime).select("doc_id"), "doc_id", "left_semi")
         if own:
-            tests = spark.createDataFrame(own, "query_id long, __paths array<string>, __tags array<string>")
+            tests = _local(spark, own, "query_id long, __paths array<string>, __tags array<string>")
             wide = rows.join(F.broadcast(tests) if len(own) <= SMALL else tests, "query_id", "left").join(index.docs.select("doc_id", "folded_path", "tags"), "doc_id")
             paths = F.forall(F.coalesce("__paths", F.array().cast("array<string>")), lambda p: F.col("folded_path").contains(p))
             tags = F.forall(F.coalesce("__tags", F.array().cast("array<string>")), lambda f: F.exists("tags", lambda t: t.startswith(f)))
             rows = wide.where(paths & tags).select(*rows.columns)
         if without:
-            bad = spark.createDataFrame(without, "query_id long, term string")
+            bad = _local(spark, without, "query_id long, term string")
             hit = index.postings.select("term", "doc_id").join(F.broadcast(bad) if len(without) <= SMALL else bad, "term").select("query_id", "doc_id")
             rows = rows.join(hit, ["query_id", "doc_id"], "left_anti")
         return rows
@@ -92,19 +114,20 @@ def search_many(
         prefixes += [(q, len(p.exact) + i, t) for i, t in enumerate(typed)]
         near += [(q, len(p.exact) + len(typed) + i, t) for i, t in enumerate(p.terms)]
         phrases += [(q, i, words) for i, words in enumerate(p.phrases)]
-    groups = spark.createDataFrame(rows, GROUPS)
+    groups = _local(spark, rows, GROUPS)
     if prefixes:
         groups = groups.unionByName(_prefix_groups(index, prefixes))
     # every prefix expands to at most PREFIX_CAP terms, so the size of the query relation is known beforehand
     small = len(rows) + K.PREFIX_CAP * len(prefixes) <= SMALL
-    spoken = spark.createDataFrame(phrases, PHRASES) if phrases else None
+    spoken = _local(spark, phrases, PHRASES) if phrases else None
     restrict = _restriction(index, parsed, path_filters, tag_filters, min_mtime)
     options = RankOptions(now_ms, limit, title_only, small, rescore_top, len(parsed))
     if fuzzy == "always" and near:
         wide = groups.unionByName(_fuzzy_groups(index, near, [(q, t) for q, p in parsed.items() for t in p.exact]))
         found = rank(index, wide, RankOptions(now_ms, limit, title_only, False, rescore_top, len(parsed)), spoken, restrict)
     else:
-        found = rank(index, groups, options, spoken, restrict)
+        narrow = _narrowed(index, {t for p in parsed.values() for t in p.exact}, {t for _, _, t in prefixes})
+        found = rank(narrow, groups, options, spoken, restrict)
         if fuzzy == "on-sparse" and near:
             found = found.persist()
             counts = {r[0]: r[1] for r in found.groupBy("query_id").count().collect()}  # one row a query
@@ -112,7 +135,7 @@ def search_many(
             again = [x for x in near if x[0] in set(sparse)]
             if again:
                 more = _fuzzy_groups(index, again, [(q, t) for q in sparse for t in parsed[q].exact])
-                changed = spark.createDataFrame([(q,) for q in sparse], "query_id long")
+                changed = _local(spark, [(q,) for q in sparse], "query_id long")
                 wide = groups.join(F.broadcast(changed), "query_id", "left_semi").unionByName(more)
                 second = rank(index, wide, RankOptions(now_ms, limit, title_only, False, rescore_top, len(parsed)), spoken, restrict)
                 found = found.join(F.broadcast(changed), "query_id", "left_anti").unionByName(second)
