@@ -76,11 +76,11 @@ def search_catalog(catalog: DataFrame, query: str, limit: int = K.DEFAULT_LIMIT,
     return scored.where(F.col("score") >= least).orderBy(F.desc("score"), F.desc("mtime_ms"), "path").limit(limit)
 
 
-def actions(commands: DataFrame) -> DataFrame:
-    """Commands (id, name) as actions: source, destructive, describe."""
+def actions(commands: DataFrame, default_source: str = "app") -> DataFrame:
+    """Commands (id, name) as actions: source (the id's part before a colon), destructive, describe."""
     from .filters import is_destructive
 
-    source = F.when(F.col("id").contains(":"), F.substring_index("id", ":", 1)).otherwise("obsidian")
+    source = F.when(F.col("id").contains(":"), F.substring_index("id", ":", 1)).otherwise(default_source)
     shown = commands.select("id", F.col("name").alias("title"), source.alias("source"))
     return shown.withColumn("destructive", is_destructive(F.concat_ws(" ", "title", "id"))).withColumn("describe", F.format_string("%s (%s)", "title", "source"))
 

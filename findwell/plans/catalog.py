@@ -575,7 +575,7 @@ COMMANDS = (
 
 
 @query(
-    "SELECT id, CASE WHEN contains(id, ':') THEN split_part(id, ':', 1) ELSE 'obsidian' END AS source, NOT regexp_matches(t, '(?i)^(show|open|view|reveal)\\b') AND (regexp_matches(t, '(?i)\\b(delete|trash|erase|wipe|purge|overwrite)\\b') "
+    "SELECT id, CASE WHEN contains(id, ':') THEN split_part(id, ':', 1) ELSE 'app' END AS source, NOT regexp_matches(t, '(?i)^(show|open|view|reveal)\\b') AND (regexp_matches(t, '(?i)\\b(delete|trash|erase|wipe|purge|overwrite)\\b') "
     "OR regexp_matches(t, '(?i)\\b(remove|clear|reset|discard)\\b') AND regexp_matches(t, '(?i)\\b(files?|notes?|folders?|vaults?|attachments?|history|data|database|cache|backups?|all)\\b')) AS destructive "
     "FROM (SELECT id, name || ' ' || id AS t FROM (VALUES " + ", ".join(f"('{i}', '{n}')" for i, n in COMMANDS) + ") v(id, name))"
 )

@@ -47,7 +47,7 @@ def test_subsequence(spark):
 def test_actions(spark):
     commands = spark.createDataFrame([("app:delete", "Delete file"), ("trash:show", "Show trash"), ("reload", "Reload")], "id string, name string")
     acts = Z.actions(commands)
-    assert {r["id"]: (r["source"], r["destructive"]) for r in acts.collect()} == {"app:delete": ("app", True), "trash:show": ("trash", False), "reload": ("obsidian", False)}
+    assert {r["id"]: (r["source"], r["destructive"]) for r in acts.collect()} == {"app:delete": ("app", True), "trash:show": ("trash", False), "reload": ("app", False)}
     opened = spark.createDataFrame([("cmd:trash:show", 9, NOW)], "key string, count long, last_opened_ms long")
     assert Z.rank_actions(acts, "e", opened, NOW).first()["id"] != "" and Z.rank_actions(acts, "", opened, NOW).first()["id"] == "trash:show"
 
