@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from . import chat_format, decontaminate, html_extract, importance, packing, qua
 from .common import new_path, table
 
 TOKENIZER = "word_bpe_49k.json"
-SAMPLE_SHARE = 0.8
+SAMPLE_SHARE = 0.85
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,5 +93,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _chat_sql() -> str:
+    """The digest from the table itself. The size adds the template's marks, one character for each backslash and one
+    for each control string."""
+    control = "|".join(re.escape(x) for x in chat_format.CONTROL).replace("'", "''")
+    probe = "</s>[INST] ok [/INST]"
+    size = lambda c: f"length({c}) + length({c}) - length(replace({c}, '\\', '')) + len(regexp_extract_all({c}, '{control}'))"
+    frame = len(chat_format.START) + len(chat_format.END) + 2
+    return f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{probe}' UNION ALL SELECT -7, 1, 'assistant', '{probe}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({frame} + {size("role")} + length(role) - length(replace(role, chr(10), '')) + {size("text")}) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only what SQL can express: the other operators' hashes, arrays, trees and models are tested by brute force."""
+    return {"op4_chat_format": _chat_sql()}
