@@ -19,7 +19,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ from .common import as_bytes, keyed_texts
 END_ID = 1
 STRIPE_BYTES = 64 << 20
 ROW_STRIDE = 10_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -44,6 +46,14 @@ _SPECIAL = "<|"
 _LIBRARY_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def _words(ids: list[int]) -> bytes:
+    """Little-endian 32-bit words."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte-level BPE's letters: printable Latin-1 stands for itself, the other bytes for 256 and on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -73,7 +83,7 @@ class Encoder(dict):
 
     def _piece(self, piece: str) -> bytes:
         text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-        out = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+        out = self.pieces[piece] = _words([t.id for t in self.model.tokenize(text)])
         return out
 
     def __missing__(self, word: bytes) -> bytes:
@@ -82,7 +92,7 @@ class Encoder(dict):
             known = self.pieces.get
             out = b"".join([known(x) or self._piece(x) for x in _SPLIT.findall(text.lower())])
         else:
-            out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            out = _words(self.tokenizer.encode(text, add_special_tokens=False).ids)
         self[word] = out
         return out
 
@@ -93,7 +103,7 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
     def whole(self, text: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+        return _words(self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids)
 
 
 def encoder(path: str) -> Encoder:
