@@ -24,13 +24,14 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import keyed_texts, mix64
 
 Q = 9
 RATE = 0.08
 BITS = 22
+BLOCK_ITEMS = 20_000
+BLOCK_CHARS = 8 << 20
 SCHEMA = "key long, item long, start long, stop long, edits int"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -174,19 +175,33 @@ def search(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int
     return found + [(*divmod(p, len(index.ids)), *v) for p, v in best.items()]
 
 
-def _scan(block, each: int = 1 << 20):
+def search_rows(texts: list[str | None], index: Index, each: int = 1 << 20) -> Iterator[tuple[int, int, int, int, int]]:
+    """search() over a batch of raw texts, some at a time."""
+    some, lo, size = [], 0, 0
+    for i, t in enumerate(texts):
+        some.append(normalise(t or ""))
+        size += len(some[-1])
+        if size > each or i + 1 == len(texts):
+            yield from ((lo + d, k, a, b, e) for d, k, a, b, e in search(some, index))
+            some, lo, size = [], i + 1, 0
+
+
+def _without(told, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = block.value
         for batch in batches:
-            keys, out = batch.column(0).to_pylist(), []
-            texts, lo, size = [], 0, 0
-            for i, t in enumerate([*batch.column(1).to_pylist(), None]):
-                if t is None or size > each:
-                    out += [(keys[lo + d], index.ids[k], a, b, e) for d, k, a, b, e in search(texts, index)]
-                    texts, lo, size = [], i, 0
-                if t is not None:
-                    texts.append(normalise(t))
-                    size += len(t)
+            good = np.ones(batch.num_rows, bool)
+            good[[d for d, *_ in search_rows(batch.column(at).to_pylist(), told.value)]] = False
+            yield batch.filter(pa.array(good))
+
+    return run
+
+
+def _scan(told):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = told.value
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            out = [(keys[d], index.ids[k], a, b, e) for d, k, a, b, e in search_rows(batch.column(1).to_pylist(), index)]
             columns = list(zip(*out)) if out else [[]] * 5
             kinds = [pa.int64()] * 4 + [pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "item", "start", "stop", "edits"])
@@ -194,37 +209,40 @@ def _scan(block, each: int = 1 << 20):
     return run
 
 
+def blocks(items: DataFrame, item_key: str, item_text: str, q: int, rate: float, block_items: int, block_chars: int) -> Iterator[Index]:
+    """Indexes of the items, in blocks of at most ``block_items`` and about ``block_chars``."""
+    block, size = [], 0
+    for r in keyed_texts(items, item_key, item_text).where("trim(text) <> ''").toLocalIterator():
+        block.append((r[0], r[1]))
+        size += len(r[1])
+        if len(block) >= block_items or size >= block_chars:
+            yield Index.build(block, q, rate)
+            block, size = [], 0
+    if block:
+        yield Index.build(block, q, rate)
+
+
 def leaks(
     df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
-    q: int = Q, rate: float = RATE, block_items: int = 20_000, block_chars: int = 8 << 20,
+    q: int = Q, rate: float = RATE, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """(key, item, start, stop, edits): each document and each item that occurs in it within its edit budget.
 
-    Items are read in blocks of at most ``block_items`` and about ``block_chars``, so what is broadcast is
-    bounded; the documents are scanned once for each block.
+    What is broadcast is one block of items; the documents are scanned once for each block.
     """
     spark = df.sparkSession
-    parts, block, size = [], [], 0
-
-    def flush() -> None:
-        nonlocal block, size
-        if block:
-            told = spark.sparkContext.broadcast(Index.build(block, q, rate))
-            parts.append(keyed_texts(df, key, text).mapInArrow(_scan(told), SCHEMA))
-        block, size = [], 0
-
-    for r in keyed_texts(items, item_key, item_text).where("trim(text) <> ''").toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len(r[1])
-        if len(block) >= block_items or size >= block_chars:
-            flush()
-    flush()
-    if not parts:
-        return spark.createDataFrame([], SCHEMA)
-    return reduce(DataFrame.unionByName, parts)
+    told = [spark.sparkContext.broadcast(x) for x in blocks(items, item_key, item_text, q, rate, block_items, block_chars)]
+    parts = [keyed_texts(df, key, text).mapInArrow(_scan(x), SCHEMA) for x in told]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SCHEMA)
 
 
-def clean(df: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """df without the documents that hold an item; rows with a null key stay only if no such row leaks."""
-    bad = leaks(df, items, key, **options).select(F.col("key").alias("__bad")).distinct()
-    return df.join(bad, F.col(f"`{key}`").cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+def clean(
+    df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
+    q: int = Q, rate: float = RATE, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """df's own rows and columns, without the documents that hold an item: one scan a block of items, no shuffle."""
+    names, at = df.columns, df.columns.index(text)
+    out = df.toDF(*[f"c{i}" for i in range(len(names))])
+    for index in blocks(items, item_key, item_text, q, rate, block_items, block_chars):
+        out = out.mapInArrow(_without(df.sparkSession.sparkContext.broadcast(index), at), out.schema)
+    return out.toDF(*names)

@@ -212,3 +212,17 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", rules: Rules =
                 yield pa.RecordBatch.from_arrays(columns, ["key", *found])
 
     return keyed_texts(df, key, text).mapInArrow(run, SCHEMA)
+
+
+def keep(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
+    """df's own rows and columns, without the documents that the rules reject: one scan, no shuffle."""
+    names, at = df.columns, df.columns.index(text)
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = as_bytes(batch.column(at))
+            good = [block(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], rules)["kept"] for lo, hi in chunks(offsets, rules.block_bytes)]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *good])))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
