@@ -147,7 +147,7 @@ def counterfactuals(rows: Rows, seed: int = 5, most: int = 4000) -> list[Swap]:
 
 
 def train(
-    rows: Rows, labels: np.ndarray, swaps: list[Swap], max_features: int = MAX_FEATURES, l2: float = 2e-4, fairness: float = 1.0, rounds: int = 400
+    rows: Rows, labels: np.ndarray, swaps: list[Swap], max_features: int = MAX_FEATURES, l2: float = 2e-4, fairness: float = 1.0, rounds: int = 300
 ) -> Model:
     """Fits a model: logistic loss + l2 * |w|^2 / 2 + fairness * mean squared change of the score under swaps."""
     share = float(labels.mean()) if len(labels) else 0.0
@@ -163,20 +163,21 @@ def train(
     used = np.array(sorted({*top[z[top] > 4.0].tolist(), *(b for w in IDENTITY for b in features(w))}))
     slot = np.full(1 << BITS, -1)
     slot[used] = np.arange(len(used))
-    x = np.zeros((len(rows), len(used)), np.float32)
+    # both matrices as (row, column, value): few of a text's words have a weight
     at = slot[rows.flat]
-    x[np.repeat(np.arange(len(rows)), np.diff(rows.begin))[at >= 0], at[at >= 0]] = 1
-    change = np.zeros((len(swaps), len(used)), np.float32)
-    for i, (come, go) in enumerate(swaps):
-        change[i, slot[come]] += 1
-        change[i, slot[go]] -= 1
-    y, w, b = labels.astype(np.float32), np.zeros(len(used), np.float32), float(np.log(share / (1 - share)))
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    r, c = np.repeat(np.arange(len(rows)), np.diff(rows.begin))[at >= 0], at[at >= 0]
+    moves = [(i, int(slot[f]), sign) for i, pair in enumerate(swaps) for own, sign in zip(pair, (1.0, -1.0)) for f in own]
+    sr, sc, sv = (np.array(v) for v in zip(*moves)) if moves else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    n, k = len(rows), len(used)
+    w, b = np.zeros(k), float(np.log(share / (1 - share)))
+    m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
     for t in range(1, rounds + 1):  # Adam on the whole sample
-        gap = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y
-        g = x.T @ gap / len(y) + l2 * w
-        if len(change):
-            g += 2 * fairness * (change.T @ (change @ w)) / len(change)
+        z = b + np.bincount(r, weights=w[c], minlength=n)
+        gap = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels
+        g = np.bincount(c, weights=gap[r], minlength=k) / n + l2 * w
+        if moves:
+            shift = np.bincount(sr, weights=sv * w[sc], minlength=len(swaps))
+            g += 2 * fairness * np.bincount(sc, weights=sv * shift[sr], minlength=k) / len(swaps)
         gb = float(gap.mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
