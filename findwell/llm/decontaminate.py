@@ -32,6 +32,7 @@ RATE = 0.08
 BITS = 22
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 8 << 20
+EXPANDED = 1 << 21
 SCHEMA = "key long, item long, start long, stop long, edits int"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -143,19 +144,28 @@ def search(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int
     many = index.first[slot + 1] - index.first[slot]
     if not many.sum():
         return found
-    # one row for each shared q-gram
-    row = np.repeat(np.arange(len(maybe)), many)
-    post = np.repeat(index.first[slot] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(len(row))
-    item = index.item[post]
     shift = int(max(len(t) for t in index.texts))
-    diagonal = (maybe - begin[doc])[row] - index.pos[post] + shift  # never negative
-    width = index.edits[item] + 1
-    band = diagonal // width
     wide = int(size.max()) + 2 * shift + 2
-    key = (doc[row] * len(index.ids) + item) * wide + band
-    # a shared q-gram counts in its band and in the one before, which reaches half into it
-    key = np.concatenate([key, (key - 1)[band > 0]])
-    key, count = np.unique(key, return_counts=True)
+    # one row for each shared q-gram, some at a time: q-grams that many items have are expanded in bounded memory
+    keys, counts = [], []
+    total = np.cumsum(many)
+    lo = 0
+    while lo < len(maybe):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + EXPANDED, "right")))
+        own = many[lo:hi]
+        row = np.repeat(np.arange(lo, hi), own)
+        post = np.repeat(index.first[slot[lo:hi]] - np.concatenate(([0], np.cumsum(own)[:-1])), own) + np.arange(len(row))
+        item = index.item[post]
+        diagonal = (maybe - begin[doc])[row] - index.pos[post] + shift  # never negative
+        band = diagonal // (index.edits[item] + 1)
+        key = (doc[row] * len(index.ids) + item) * wide + band
+        # a shared q-gram counts in its band and in the one before, which reaches half into it
+        key, count = np.unique(np.concatenate([key, (key - 1)[band > 0]]), return_counts=True)
+        keys.append(key)
+        counts.append(count)
+        lo = hi
+    key, slot = np.unique(np.concatenate(keys), return_inverse=True)
+    count = np.bincount(slot, weights=np.concatenate(counts)).astype(np.int64)
     pair, band = key // wide, key % wide
     kept = count >= index.need[pair % len(index.ids)]
     best: dict[int, tuple[int, int, int]] = {}
