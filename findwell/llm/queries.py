@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, html_extract, importance, packing, quality_rules, simhash, suffix_dedup, token_orc, toxicity
-from .common import new_path, table
+from .common import new_path, reachable, table
 
 TOKENIZER = "word_bpe_49k.json"
 SAMPLE_SHARE = 0.85
@@ -77,8 +78,17 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _with_workers(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+        reachable(spark)
+        return query(spark, sf_dir, **more)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "op1_decontaminate": op1_decontaminate,
         "op2_token_orc": op2_token_orc,
         "op3_simhash": op3_simhash,
@@ -91,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_importance": op10_importance,
         "pipeline": pipeline,
     }
+    return {name: _with_workers(query) for name, query in found.items()}
 
 
 def _chat_sql() -> str:
