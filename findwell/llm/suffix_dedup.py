@@ -11,8 +11,11 @@ corpus, the same document included. Matches never cross documents.
    the shard's family for suffixes that share the first ``seed`` bytes or more, and becomes a level;
    levels of equal size are merged, so n suffixes are kept in O(log n) arrays. A level keeps one suffix of
    each kind, so copies cost no memory. This yields the anchors that occur more than once.
-3. Exact check. Only for these anchors the bytes around them are fetched; all ``length``-byte strings
-   that have the anchor at the same offset are compared through 64-bit hashes, column by column, so a
+3. Exact check. Only for these anchors the bytes around them are fetched. The offsets of the anchor in a
+   string form ``PARTS`` sections; all strings of a section share the bytes from its least offset before the anchor to
+   where its largest ends, and are dealt out by a hash of them. So the places of a short common
+   line fall apart into groups by what stands around it. In a group all ``length``-byte strings
+   of the same offset are compared through 64-bit hashes, column by column, so a
    group of m costs m log m and never m * m. Equal contexts are collapsed before the shuffle, with
    their places.
 4. The covered ranges are unioned per document and cut out.
@@ -26,11 +29,13 @@ cut through are dropped with it.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +44,7 @@ from .common import as_bytes, chunks, keyed_texts, materialize, mix64
 LENGTH = 400
 SEED = 64
 BLOCK = 1 << 18
+PARTS = 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
@@ -188,21 +194,32 @@ def _family_scan(seed: int):
     return run
 
 
-def _contexts(length: int, seed: int):
-    """For (row, text, spots): the bytes around each spot, equal ones of the batch with all their places."""
-    reach = length - seed
+def sections(length: int, seed: int, parts: int) -> list[tuple[int, int]]:
+    """Offsets 0..length - seed of an anchor within a string, in ``parts`` half-open ranges."""
+    edges = [i * (length - seed + 1) // parts for i in range(parts + 1)]
+    return [(a, b) for a, b in zip(edges, edges[1:]) if a < b]
+
+
+def _contexts(length: int, seed: int, parts: int):
+    """For (row, text, spots): per section, the bytes around each spot, equal ones of the batch with all their
+    places. The key is a hash of those bytes that all strings of the section share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[bytes, int], list[tuple[int, int]]] = {}
+            found: dict[tuple[bytes, int, int, int], list[tuple[int, int]]] = {}
             data, offsets = as_bytes(batch.column("body"))
             raw = data.tobytes()
             at = offsets.tolist()
             for d, (row, spots) in enumerate(zip(batch.column("row").to_pylist(), batch.column("spots").to_pylist())):
+                begin, end = at[d], at[d + 1]
                 for s in spots or ():
-                    p = at[d] + s
-                    lo = max(at[d], p - reach)
-                    found.setdefault((raw[lo : min(at[d + 1], p + seed + reach)], p - lo), []).append((row, s))
+                    p = begin + s
+                    for k, (a, b) in enumerate(sections(length, seed, parts)):
+                        if s < a or p + length - b + 1 > end:
+                            continue  # no string of the section fits into the document
+                        lo = max(begin, p - b + 1)
+                        key = xxhash.xxh64_intdigest(raw[p - a : p + length - b + 1], k) - (1 << 63)
+                        found.setdefault((raw[lo : min(end, p - a + length)], p - lo, k, key), []).append((row, s))
             rows, pos, n = [], [], [0]
             for places in found.values():
                 rows += [r for r, _ in places]
@@ -211,30 +228,33 @@ def _contexts(length: int, seed: int):
             at32 = pa.array(n, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([c[o : o + seed] for c, o in found], pa.binary()), pa.array([c for c, _ in found], pa.binary()), pa.array([o for _, o in found], pa.int64()),
+                    pa.array([x[3] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int32()), pa.array([x[0] for x in found], pa.binary()),
+                    pa.array([x[1] for x in found], pa.int64()),
                     pa.ListArray.from_arrays(at32, pa.array(rows, pa.int64())), pa.ListArray.from_arrays(at32, pa.array(pos, pa.int64())),
                 ],
-                ["head", "context", "left", "rows", "spots"],
+                ["key", "section", "context", "left", "rows", "spots"],
             )
 
     return run
 
 
-def matched(contexts: list[bytes], left: np.ndarray, copies: np.ndarray, group: np.ndarray, length: int, seed: int, cells: int = 1 << 21) -> np.ndarray:
-    """bool [context, offset]: whether the ``length``-byte string that has the context's anchor at that
+def matched(
+    contexts: list[bytes], left: np.ndarray, copies: np.ndarray, group: np.ndarray, length: int, section: tuple[int, int], cells: int = 1 << 21
+) -> np.ndarray:
+    """bool [context, offset - section[0]]: whether the ``length``-byte string that has the context's anchor at that
     offset occurs twice or more in the context's group, counting each context ``copies`` times."""
-    reach, m = length - seed, len(contexts)
+    reach, m, wide = section[1] - 1, len(contexts), section[1] - section[0]
     size = np.array([len(c) for c in contexts])
-    grid = np.zeros((m, 2 * reach + seed), np.uint8)
+    grid = np.zeros((m, wide + length - 1), np.uint8)
     for i, (c, o) in enumerate(zip(contexts, left.tolist())):
         grid[i, reach - o : reach - o + len(c)] = np.frombuffer(c, np.uint8)
-    power, _ = _powers(2 * reach + seed)
+    power, _ = _powers(grid.shape[1])
     salt = mix64(group.astype(np.uint64) + np.uint64(1))[:, None]
-    hit = np.zeros((m, reach + 1), bool)
+    hit = np.zeros((m, wide), bool)
     # the string of offset o starts at column reach - o; columns are taken in blocks, to bound memory
-    span = max(1, min(reach + 1, cells // m))
-    for c0 in range(0, reach + 1, span):
-        column = np.arange(c0, min(c0 + span, reach + 1))
+    span = max(1, min(wide, cells // m))
+    for c0 in range(0, wide, span):
+        column = np.arange(c0, min(c0 + span, wide))
         h = np.empty((m, len(column)), np.uint64)
         with np.errstate(over="ignore"):
             for lo in range(0, m, 512):
@@ -257,14 +277,14 @@ def matched(contexts: list[bytes], left: np.ndarray, copies: np.ndarray, group:
     return hit[:, ::-1]  # by offset
 
 
-def _windows(length: int, seed: int, some: int = 4096):
-    """Whole partitions of contexts, all of a head in one: the ranges that are covered."""
+def _windows(length: int, seed: int, parts: int, some: int = 4096):
+    """Whole partitions of contexts, all of a key in one: the ranges that are covered."""
 
-    def ranges(groups: list[dict], out: tuple[list, list, list]) -> None:
+    def ranges(groups: list[dict], section: tuple[int, int], out: tuple[list, list, list]) -> None:
         contexts = [(c, o, g) for g, kinds in enumerate(groups) for c, o in kinds]
         places = [p for kinds in groups for p in kinds.values()]
         hit = matched(
-            [c for c, _, _ in contexts], np.array([o for _, o, _ in contexts]), np.array([len(p) for p in places]), np.array([g for _, _, g in contexts]), length, seed
+            [c for c, _, _ in contexts], np.array([o for _, o, _ in contexts]), np.array([len(p) for p in places]), np.array([g for _, _, g in contexts]), length, section
         )
         # runs of offsets a..b cover [spot - b, spot - a + length)
         padded = np.zeros((len(contexts), hit.shape[1] + 2), np.int8)
@@ -273,22 +293,40 @@ def _windows(length: int, seed: int, some: int = 4096):
         for (k, a), (_, b) in zip(np.argwhere(edge == 1).tolist(), np.argwhere(edge == -1).tolist()):
             for row, spot in places[k]:
                 out[0].append(row)
-                out[1].append(spot - b + 1)
-                out[2].append(spot - a + length)
+                out[1].append(spot - section[0] - b + 1)
+                out[2].append(spot - section[0] - a + length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads: dict[bytes, dict[tuple[bytes, int], list[tuple[int, int]]]] = {}
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("head", "context", "left", "rows", "spots")]
-            for head, context, left, rows, spots in zip(*columns):
-                heads.setdefault(head, {}).setdefault((context, left), []).extend(zip(rows, spots))
-        todo, n = [], 0
-        for i, kinds in enumerate(heads.values()):
-            todo.append(kinds)
-            n += len(kinds)
-            if n >= some or i == len(heads) - 1:
+        whole = [b for b in batches if b.num_rows]
+        if not whole:
+            return
+        table = pa.Table.from_batches(whole)
+        key, section = table.column("key").to_numpy(), table.column("section").to_numpy()
+        places = pa.compute.list_value_length(table.column("rows")).to_numpy()
+        for k, own in enumerate(sections(length, seed, parts)):
+            order = np.flatnonzero(section == k)
+            order = order[np.argsort(key[order], kind="stable")]
+            if not len(order):
+                continue
+            first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+            last = np.append(first[1:], len(order))
+            # a key with one place has no partner
+            many = np.flatnonzero(np.add.reduceat(places[order], first) > 1)
+            todo, n = [], 0
+            for i in many.tolist():
+                todo.append(order[first[i] : last[i]])
+                n += len(todo[-1])
+                if n < some and i != many[-1]:
+                    continue
+                got = table.take(pa.array(np.concatenate(todo)))
+                columns = zip(*[got.column(c).to_pylist() for c in ("context", "left", "rows", "spots")])
+                groups: list[dict[tuple[bytes, int], list[tuple[int, int]]]] = []
+                for size in map(len, todo):
+                    groups.append({})
+                    for context, left, rows, spots in itertools.islice(columns, size):
+                        groups[-1].setdefault((context, left), []).extend(zip(rows, spots))
                 out: tuple[list, list, list] = ([], [], [])
-                ranges(todo, out)
+                ranges(groups, own, out)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["row", "lo", "hi"])
                 todo, n = [], 0
 
@@ -310,9 +348,9 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     places = twice.groupBy("row").agg(F.collect_set("pos").alias("spots"))
     # the same exchange of the texts serves this join and the one with the result
     near = rows.join(places.hint("shuffle_hash"), "row").mapInArrow(
-        _contexts(length, seed), "head binary, context binary, left long, rows array<long>, spots array<long>"
+        _contexts(length, seed, PARTS), "key long, section int, context binary, left long, rows array<long>, spots array<long>"
     )
-    ranges = near.repartition(F.xxhash64("head")).mapInArrow(_windows(length, seed), "row long, lo long, hi long")
+    ranges = near.repartition("key").mapInArrow(_windows(length, seed, PARTS), "row long, lo long, hi long")
     return ranges.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
 
 
