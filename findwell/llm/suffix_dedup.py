@@ -11,10 +11,11 @@ corpus, the same document included. Matches never cross documents.
    the shard's family for suffixes that share the first ``seed`` bytes or more, and becomes a level;
    levels of equal size are merged, so n suffixes are kept in O(log n) arrays. A level keeps one suffix of
    each kind, so copies cost no memory. This yields the anchors that occur more than once.
-3. Exact check. Only for these anchors the bytes around them are fetched. The offsets of the anchor in a
-   string form ``PARTS`` sections; all strings of a section share the bytes from its least offset before the anchor to
-   where its largest ends, and are dealt out by a hash of them. So the places of a short common
-   line fall apart into groups by what stands around it. In a group all ``length``-byte strings
+3. Exact check. Only for these anchors the bytes around them are fetched. The offsets that an
+   anchor may have in a string are one section, or ``HOT_PARTS`` of them for the few anchors with more than one place in
+   ``HOT_SHARE``. All strings of a section share the bytes from its least offset before the anchor to
+   where its largest ends, and are dealt out by a hash of them. So the places of a very common line
+   fall apart into groups by what stands around it. In a group all ``length``-byte strings
    of the same offset are compared through 64-bit hashes, column by column, so a
    group of m costs m log m and never m * m. Equal contexts are collapsed before the shuffle, with
    their places.
@@ -44,7 +45,8 @@ from .common import as_bytes, chunks, keyed_texts, materialize, mix64
 LENGTH = 400
 SEED = 64
 BLOCK = 1 << 18
-PARTS = 2
+HOT_SHARE = 1000
+HOT_PARTS = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
@@ -175,6 +177,11 @@ def _anchor_rows(length: int, seed: int):
     return run
 
 
+def named(data: bytes, seed: int = 0) -> int:
+    """A signed 64-bit hash."""
+    return xxhash.xxh64_intdigest(data, seed) - (1 << 63)
+
+
 def _family_scan(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, taken, begin = Family(), [], [0]
@@ -184,41 +191,43 @@ def _family_scan(seed: int):
             heads = as_bytes(batch.column(0))[0].view(f"S{seed}")
             rows, spots = batch.column(1), batch.column(2)
             found = family.add(heads, np.arange(begin[-1], begin[-1] + len(heads)), pa.compute.list_value_length(rows).to_numpy() > 1)
-            taken.append((rows, spots))
+            taken.append((rows, spots, pa.array([named(x) for x in batch.column(0).to_pylist()], pa.int64())))
             begin.append(begin[-1] + len(heads))
             which = np.searchsorted(begin, found, "right") - 1
             for w in np.unique(which):
                 at = pa.array(found[which == w] - begin[w])
-                yield pa.RecordBatch.from_arrays([x.take(at).flatten() for x in taken[w]], ["row", "pos"])
+                own, where, kinds = (x.take(at) for x in taken[w])
+                many = pa.compute.list_value_length(own).to_numpy()
+                yield pa.RecordBatch.from_arrays([own.flatten(), where.flatten(), pa.array(np.repeat(kinds.to_numpy(), many))], ["row", "pos", "head"])
 
     return run
 
 
-def sections(length: int, seed: int, parts: int) -> list[tuple[int, int]]:
-    """Offsets 0..length - seed of an anchor within a string, in ``parts`` half-open ranges."""
-    edges = [i * (length - seed + 1) // parts for i in range(parts + 1)]
-    return [(a, b) for a, b in zip(edges, edges[1:]) if a < b]
+def sections(length: int, seed: int) -> list[tuple[int, int]]:
+    """Half-open ranges of the offset of an anchor within a string: first the whole one, then ``HOT_PARTS`` that divide it."""
+    edges = [i * (length - seed + 1) // HOT_PARTS for i in range(HOT_PARTS + 1)]
+    return [(0, length - seed + 1)] + [(a, b) for a, b in zip(edges, edges[1:]) if a < b]
 
 
-def _contexts(length: int, seed: int, parts: int):
-    """For (row, text, spots): per section, the bytes around each spot, equal ones of the batch with all their
+def _contexts(length: int, seed: int, hot):
+    """For (row, text, spots): per section (the whole range, or the parts for heads in hot), the bytes around each spot, equal ones of the batch with all their
     places. The key is a hash of those bytes that all strings of the section share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[tuple[bytes, int, int, int], list[tuple[int, int]]] = {}
             data, offsets = as_bytes(batch.column("body"))
-            raw = data.tobytes()
-            at = offsets.tolist()
+            raw, heads = data.tobytes(), (data + np.uint8(1)).tobytes()  # heads are named as they travelled, shifted by one
+            at, every = offsets.tolist(), list(enumerate(sections(length, seed)))
             for d, (row, spots) in enumerate(zip(batch.column("row").to_pylist(), batch.column("spots").to_pylist())):
                 begin, end = at[d], at[d + 1]
                 for s in spots or ():
                     p = begin + s
-                    for k, (a, b) in enumerate(sections(length, seed, parts)):
+                    for k, (a, b) in every[1:] if named(heads[p : p + seed]) in hot.value else every[:1]:
                         if s < a or p + length - b + 1 > end:
                             continue  # no string of the section fits into the document
                         lo = max(begin, p - b + 1)
-                        key = xxhash.xxh64_intdigest(raw[p - a : p + length - b + 1], k) - (1 << 63)
+                        key = named(raw[p - a : p + length - b + 1], k)
                         found.setdefault((raw[lo : min(end, p - a + length)], p - lo, k, key), []).append((row, s))
             rows, pos, n = [], [], [0]
             for places in found.values():
@@ -277,7 +286,7 @@ def matched(
     return hit[:, ::-1]  # by offset
 
 
-def _windows(length: int, seed: int, parts: int, some: int = 4096):
+def _windows(length: int, seed: int, some: int = 4096):
     """Whole partitions of contexts, all of a key in one: the ranges that are covered."""
 
     def ranges(groups: list[dict], section: tuple[int, int], out: tuple[list, list, list]) -> None:
@@ -303,7 +312,7 @@ def _windows(length: int, seed: int, parts: int, some: int = 4096):
         table = pa.Table.from_batches(whole)
         key, section = table.column("key").to_numpy(), table.column("section").to_numpy()
         places = pa.compute.list_value_length(table.column("rows")).to_numpy()
-        for k, own in enumerate(sections(length, seed, parts)):
+        for k, own in enumerate(sections(length, seed)):
             order = np.flatnonzero(section == k)
             order = order[np.argsort(key[order], kind="stable")]
             if not len(order):
@@ -344,13 +353,16 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     """(row, ranges array<struct<lo, hi>>) of rows with repeats, from the output of _rows."""
     anchored = rows.where(F.octet_length("body") >= length).select("row", "body").mapInArrow(_anchor_rows(length, seed), "head binary, rows array<long>, spots array<long>")
     dealt = anchored.repartition(F.xxhash64("head"))
-    twice = materialize(dealt.mapInArrow(_family_scan(seed), "row long, pos long"), "anchors")
+    twice = materialize(dealt.mapInArrow(_family_scan(seed), "row long, pos long, head long"), "anchors")
+    # heads with more than one place in HOT_SHARE: less than HOT_SHARE of them, whatever the corpus
+    bound = max(twice.count() // HOT_SHARE, 1)
+    hot = rows.sparkSession.sparkContext.broadcast({r[0] for r in twice.groupBy("head").count().where(F.col("count") > bound).collect()})
     places = twice.groupBy("row").agg(F.collect_set("pos").alias("spots"))
     # the same exchange of the texts serves this join and the one with the result
     near = rows.join(places.hint("shuffle_hash"), "row").mapInArrow(
-        _contexts(length, seed, PARTS), "key long, section int, context binary, left long, rows array<long>, spots array<long>"
+        _contexts(length, seed, hot), "key long, section int, context binary, left long, rows array<long>, spots array<long>"
     )
-    ranges = near.repartition("key").mapInArrow(_windows(length, seed, PARTS), "row long, lo long, hi long")
+    ranges = near.repartition("key").mapInArrow(_windows(length, seed), "row long, lo long, hi long")
     return ranges.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
 
 

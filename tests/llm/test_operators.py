@@ -168,8 +168,10 @@ def test_repeated_strings(spark, corpus):
     assert 200 not in left and left[9002] == "" and left[1] == rows[1][1] and 0 not in left
 
 
+@pytest.mark.parametrize("share", [1000, 1], ids=["frequent anchors", "no frequent anchors"])
 @pytest.mark.parametrize("seed", range(4))
-def test_repeated_strings_at_small_scale(spark, seed):
+def test_repeated_strings_at_small_scale(spark, seed, share, monkeypatch):
+    monkeypatch.setattr(SD, "HOT_SHARE", share)
     rng = random.Random(seed)
     pool = ["".join(rng.choices("ab", k=60)) for _ in range(4)] + ["\x00" * 50, "abab" * 20]
     texts = ["".join(rng.choices(pool, k=rng.randrange(1, 6))) + "".join(rng.choices("abc", k=rng.randrange(30))) for _ in range(40)]
