@@ -30,8 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without long strings that occur elsewhere; documents with nothing left go."""
-    cut = suffix_dedup.dedup_text(docs)
+    """Texts without passages of over 50 words, or strings of 400 bytes, that occur elsewhere; documents with nothing left go."""
+    cut = suffix_dedup.dedup_text(docs, words=suffix_dedup.WORDS)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

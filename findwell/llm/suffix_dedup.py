@@ -25,6 +25,10 @@ Defined cases: null text is empty; texts shorter than ``length`` are left alone.
 hash of key and text, so null keys and keys that several rows share are no special case, and a repeated row
 is a copy like any other. Text out of ``dedup_text`` stays valid UTF-8: bytes of a character that was
 cut through are dropped with it.
+
+Passages by words (``words`` of ``dedup_text``): each word, a run of anything but ASCII white space, becomes a code of
+``CODE`` characters, and the same search runs over the codes with ``words * CODE`` as its length. So a passage counts by its
+words, however short they are, and white space between them does not matter.
 """
 
 from __future__ import annotations
@@ -47,6 +51,8 @@ SEED = 64
 BLOCK = 1 << 18
 HOT_SHARE = 1000
 HOT_PARTS = 8
+WORDS = 51
+CODE = 6
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
@@ -342,6 +348,59 @@ def _windows(length: int, seed: int, some: int = 4096):
     return run
 
 
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the words; none crosses documents."""
+    inside = (data != 32) & ((data < 9) | (data > 13))
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    edge = offsets[(offsets > 0) & (offsets < len(data))]
+    begins[edge] = inside[edge]
+    ends[edge - 1] = inside[edge - 1]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """uint64 hash of each word, and the n+1 offsets of the documents' words."""
+    begins, ends = word_bounds(data, offsets)
+    power, inverse = _powers(len(data) + 1)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_TABLE[data] * power[: len(data)], out=total[1:])
+        return mix64((total[ends] - total[begins]) * inverse[begins]), np.searchsorted(begins, offsets)
+
+
+def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """uint8 [word, CODE], six bits of the word's hash a character, and the n+1 offsets of the documents' words."""
+    h, at = word_hashes(data, offsets)
+    parts = (h[:, None] >> (np.arange(CODE, dtype=np.uint64) * np.uint64(6))[None, :]) & np.uint64(63)
+    return parts.astype(np.uint8) + np.uint8(48), at
+
+
+def _coded(then):
+    """``then`` on the codes of the bodies instead of the bodies, in the same worker."""
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            more = [c for c in batch.schema.names if c == "spots"]
+            data, offsets = as_bytes(batch.column("body"))
+            for lo, hi in chunks(offsets, BLOCK):
+                found, at = word_codes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                bodies = pa.StringArray.from_buffers(hi - lo, pa.py_buffer((at * CODE).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(found)))
+                own = [batch.column(c).slice(lo, hi - lo) for c in more]
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, hi - lo), bodies, *own], ["row", "body", *more])
+
+    return lambda batches: then(codes(batches))
+
+
+def repeated_words(rows: DataFrame, words: int) -> DataFrame:
+    """(row, passages array<struct<lo, hi>>), in words: the passages of ``words`` words or more that start anywhere else."""
+    spans = repeated_spans(rows, words * CODE, min(10, words) * CODE, _coded)
+    # inwards to whole words
+    whole = F.transform("ranges", lambda r: F.struct(F.ceil(r["lo"] / CODE).cast("long").alias("lo"), F.floor(r["hi"] / CODE).cast("long").alias("hi")))
+    return spans.select("row", whole.alias("passages"))
+
+
 def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """df's columns, with ``body`` (null: empty) and ``row``, a hash of key and text."""
     own = F.col(f"`{text}`").cast("string")
@@ -349,9 +408,11 @@ def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return named.withColumn("row", F.xxhash64(F.col(f"`{key}`").cast("long"), "body"))
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """(row, ranges array<struct<lo, hi>>) of rows with repeats, from the output of _rows."""
-    anchored = rows.where(F.octet_length("body") >= length).select("row", "body").mapInArrow(_anchor_rows(length, seed), "head binary, rows array<long>, spots array<long>")
+def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED, coded=None) -> DataFrame:
+    """(row, ranges array<struct<lo, hi>>) of rows with repeats, from the output of _rows. coded: wraps what reads bodies."""
+    long = rows if coded else rows.where(F.octet_length("body") >= length)
+    coded = coded or (lambda f: f)
+    anchored = long.select("row", "body").mapInArrow(coded(_anchor_rows(length, seed)), "head binary, rows array<long>, spots array<long>")
     dealt = anchored.repartition(F.xxhash64("head"))
     twice = materialize(dealt.mapInArrow(_family_scan(seed), "row long, pos long, head long"), "anchors")
     # heads with more than one place in HOT_SHARE: less than HOT_SHARE of them, whatever the corpus
@@ -360,7 +421,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     places = twice.groupBy("row").agg(F.collect_set("pos").alias("spots"))
     # the same exchange of the texts serves this join and the one with the result
     near = rows.join(places.hint("shuffle_hash"), "row").mapInArrow(
-        _contexts(length, seed, hot), "key long, section int, context binary, left long, rows array<long>, spots array<long>"
+        coded(_contexts(length, seed, hot)), "key long, section int, context binary, left long, rows array<long>, spots array<long>"
     )
     ranges = near.repartition("key").mapInArrow(_windows(length, seed), "row long, lo long, hi long")
     return ranges.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
@@ -376,11 +437,16 @@ def _merge(ranges: list[dict[str, int]] | None) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(texts: pa.Array, ranges: pa.Array) -> Iterator[tuple[bytes, bytes, list[tuple[int, int]]]]:
+def _cut(texts: pa.Array, ranges: pa.Array, passages: pa.Array | None = None) -> Iterator[tuple[bytes, bytes, list[tuple[int, int]]]]:
     data, offsets = as_bytes(texts)
     raw, at = data.tobytes(), offsets.tolist()
+    by_words = passages.to_pylist() if passages is not None else [None] * len(texts)
     for i, r in enumerate(ranges.to_pylist()):
         own = raw[at[i] : at[i + 1]]
+        if by_words[i]:
+            begins, ends = word_bounds(data[at[i] : at[i + 1]], np.array([0, len(own)]))
+            more = [{"lo": int(begins[p["lo"]]), "hi": int(ends[p["hi"] - 1])} for p in by_words[i]]
+            r = sorted([*(r or ()), *more], key=lambda x: x["lo"])
         spans = _merge(r)
         if not spans:
             yield own, own, spans
@@ -410,8 +476,10 @@ def removal(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
     return joined.mapInArrow(run, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<lo:long,hi:long>>")
 
 
-def dedup_text(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """df's own columns, with ``text`` cut; a document of which nothing is left is dropped, others stay."""
+def dedup_text(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED, words: int | None = None) -> DataFrame:
+    """df's own columns, with ``text`` cut; a document of which nothing is left is dropped, others stay.
+
+    words: repeated passages of so many words are cut as well, and white space alone counts as nothing left."""
     names = [f"c{i}" for i in range(len(df.columns))]
     plain = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)])
     own = names[df.columns.index(text)]
@@ -420,10 +488,17 @@ def dedup_text(df: DataFrame, key: str = "doc_id", text: str = "text", length: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = pa.array([k.decode("utf-8", "ignore") for _, k, _ in _cut(batch.column("body"), batch.column("ranges"))], pa.string())
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in others], batch.column("ranges").is_null(), kept], [*others, "whole", "kept"])
+            passages = batch.column("passages") if words else None
+            whole = batch.column("ranges").is_null()
+            if words:
+                whole = pa.compute.and_(whole, passages.is_null())
+            cut = _cut(batch.column("body"), batch.column("ranges"), passages)
+            kept = pa.array([(k if not words or k.strip() or not spans else b"").decode("utf-8", "ignore") for _, k, spans in cut], pa.string())
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in others], whole, kept], [*others, "whole", "kept"])
 
     kinds = ", ".join(f"{n} {plain.schema[n].dataType.simpleString()}" for n in others)
     joined = rows.join(repeated_spans(rows, length, seed).hint("shuffle_hash"), "row", "left")
+    if words:
+        joined = joined.join(repeated_words(rows, words).hint("shuffle_hash"), "row", "left")
     out = joined.mapInArrow(run, f"{kinds}, whole boolean, kept string").where("whole or kept <> ''")
     return out.select(*[F.col("kept" if n == own else n).alias(c) for c, n in zip(df.columns, names)])

@@ -180,6 +180,28 @@ def test_repeated_strings_at_small_scale(spark, seed, share, monkeypatch):
     assert {r["key"]: r["n_removed"] for r in SD.removal(df, length=40, seed=16).collect()} == want
 
 
+def test_repeated_passages_by_words(spark):
+    """The pipeline's stage cuts 51 short words that stand elsewhere, with other white space too, and leaves 50."""
+    rng = random.Random(12)
+    long, short = words(rng, 51, 90).split(), words(rng, 50, 90).split()
+    assert len(" ".join(long)) < 200
+    texts = {i: [f"a{i}", *words(rng, 30 + i).split()] for i in range(8)}
+    for i in (0, 1, 2):
+        texts[i][7:7] = long
+    for i in (3, 4):
+        texts[i][9:9] = short
+    rows = [(i, (" \n" if i == 1 else " ").join(w), "en", "s", 1) for i, w in texts.items()] + [(8, " ".join(long) + "\n", "en", "s", 1), (9, "", "en", "s", 0), (10, None, "en", "s", 0)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()}
+    want = {i: [w for k, w in enumerate(own) if i > 2 or not 7 <= k < 58] for i, own in texts.items()}
+    assert {i: (t or "").split() for i, t in got.items()} == want | {9: [], 10: []}
+    small = [[rng.choice(["p", "qq", "é"]) for _ in range(rng.randrange(30))] for _ in range(25)]
+    found = SD.repeated_words(SD._rows(spark.createDataFrame([(i, " \t".join(t)) for i, t in enumerate(small)], "key long, text string"), "key", "text"), 5)
+    by = {r["row"]: r["passages"] for r in found.collect()}
+    ids = {r["key"]: r["row"] for r in SD._rows(spark.createDataFrame([(i, " \t".join(t)) for i, t in enumerate(small)], "key long, text string"), "key", "text").collect()}
+    for (i, t), gone in zip(enumerate(small), removed([tuple(t) for t in small], 5)):
+        assert {j for p in by.get(ids[i]) or () for j in range(p["lo"], p["hi"])} == set(np.flatnonzero(gone).tolist()), (i, t)
+
+
 def test_suffix_family_merges_levels():
     family = SD.Family(base=4)
     rng = np.random.default_rng(1)
