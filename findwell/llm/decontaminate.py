@@ -174,12 +174,17 @@ def search(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int
         if best.get(p, (0, 0, 1))[2] == 0:
             continue
         e, m = int(index.edits[k]), len(index.texts[k])
-        lo = max(0, b * (e + 1) - shift - e)
+        first = b * (e + 1) - shift - e
+        lo = max(0, first)
         region = texts[d][lo : (b + 2) * (e + 1) - shift + m + e]
         if (at := region.find(index.texts[k])) >= 0:
             hit = (at, at + m, 0)
         else:
-            hit = align(codes(index.texts[k]), codes(region), e, max(0, len(region) - m + e))
+            # what the region lacks before the text is filled, so that diagonals before it exist for an item whose head is cut;
+            # an item's character set against the filling costs one edit, as if it were missing
+            fill = np.full(lo - first, 0xFFFFFFFF, np.uint32)
+            hit = align(codes(index.texts[k]), np.concatenate([fill, codes(region)]), e, max(0, len(fill) + len(region) - m + e))
+            hit = hit and (max(0, hit[0] - len(fill)), hit[1] - len(fill), hit[2])
         if hit and (p not in best or hit[2] < best[p][2]):
             best[p] = (lo + hit[0], lo + hit[1], hit[2])
     return found + [(*divmod(p, len(index.ids)), *v) for p, v in best.items()]

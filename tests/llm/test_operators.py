@@ -251,6 +251,28 @@ def test_leaks_within_the_edit_budget(spark):
     assert DC.leaks(df, bench.limit(0)).count() == 0 and DC.clean(df.limit(0), bench).count() == 0
 
 
+def test_leaks_at_the_ends_of_a_text():
+    """Altered items as the whole text, at its start and at its end."""
+    rng = random.Random(6)
+    items = [DC.normalise("".join(rng.choices("abcdefgh ", k=n))) for n in (36, 90, 160, 300)]
+    index = DC.Index.build(list(enumerate(items)), DC.Q, DC.RATE)
+    assert DC.search([items[0][:10] + items[0][11:]], index) == [(0, 0, 0, len(items[0]) - 1, 1)]
+    for trial in range(120):
+        k = trial % 4
+        text, budget = list(items[k]), int(index.edits[k])
+        for _ in range(rng.randrange(0, budget + 2)):
+            at = rng.choice([0, -1, rng.randrange(len(text))])
+            rng.choice([lambda: text.pop(at), lambda: text.pop(at), lambda: text.__setitem__(at, "Z"), lambda: text.insert(at, "Y")])()
+        more = "".join(rng.choices("abcdefgh ", k=60))
+        for whole in map(DC.normalise, (" \n" + "".join(text), "".join(text) + more, more + "".join(text))):
+            found = {x[1]: x for x in DC.search([whole], index)}
+            true = distance(items[k], whole)
+            assert (k in found) == (true <= budget), (k, whole)
+            if k in found:
+                _, _, start, stop, edits = found[k]
+                assert edits == true and 0 <= start < stop <= len(whole) and distance(whole[start:stop], items[k]) <= edits
+
+
 def check_bins(rows, capacities):
     bins = defaultdict(list)
     for r in rows:
