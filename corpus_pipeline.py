@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from findwell.llm import decontaminate, packing, quality_rules, simhash, suffix_dedup
+from findwell.llm import decontaminate, packing, quality_rules, resemblance, suffix_dedup
 from findwell.llm.common import materialize, table
 
 
@@ -21,11 +21,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; one row of repeated ids."""
-    groups = simhash.near_duplicates(docs)
-    gone = groups.where("key <> component").select(F.col("key").alias("doc_id")).distinct()
-    first = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the smallest id of each group of near-duplicates (five-word shingles, similarity 0.8); one of repeated rows."""
+    own = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    groups = resemblance.near_duplicates(own, "__row", "text")
+    named = groups.distinct().join(own.select(F.col("__row").alias("row"), "doc_id").distinct(), "row")
+    kept = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("__row")).select("__row")
+    first = Window.partitionBy("__row").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+    left = own.join(kept, "__row", "left_semi")
     return left.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)
 
 

@@ -139,6 +139,31 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(1, 61)} | {80: 0, 90: 0, 100: 0, 200: 199}
 
 
+def test_near_duplicates_of_the_pipeline(spark):
+    """Groups by exact similarity of five-word shingles, 0.8 or more, whatever their fingerprints; similar but lesser pairs stay."""
+    rng = random.Random(31)
+    rows = []
+    for g in range(12):
+        base = words(rng, 200, 500).split()
+        for _ in range(5):
+            own = base[:]
+            for at in rng.sample(range(200), rng.randrange(0, 9)):
+                own[at] = f"X{rng.randrange(900)}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(len(rows), rows[3][1].upper().replace(" ", "\n")), (len(rows) + 1, "a b"), (len(rows) + 2, "A  b"), rows[5]]
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    want = components(sorted(sets), near)
+    prints = {i: fingerprint(t) for i, t in rows}
+    assert any(near(a, b) and (prints[a] ^ prints[b]).bit_count() > 2 for a in sets for b in range(a)) and 15 < len(set(want.values())) < 60
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()) == sorted(set(want.values()))
+    assert corpus_pipeline.near_duplicates(spark, df.limit(0), SF).count() == 0
+
+
 def removed(texts, length):
     count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
