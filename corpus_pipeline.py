@@ -1,9 +1,9 @@
 """The corpus pipeline: five stages over ``documents``, each on what the one before kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again for the next. All but the last return the columns of ``documents``. Rows without a doc_id
-cannot be followed and leave at the first stage. SQL cannot express the stages (ORACLE_SQL is None);
-tests/llm compares them with brute force.
+again for the next. All but the last return the columns of ``documents``. Rows are followed by a hash of
+doc_id and text, so rows with a null or shared doc_id pass on their own text. SQL cannot express the stages
+(ORACLE_SQL is None); tests/llm compares them with brute force.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from findwell.llm.common import materialize, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules.keep(docs.where("doc_id is not null"))
+    return quality_rules.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -497,6 +497,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert sum(r["length"] for r in rows) == sum(len(t.encode()) for t in texts.values())
 
 
+def test_rows_without_an_id_of_their_own_stay(spark):
+    """Null and shared ids pass all stages on their own text; copies still go."""
+    rng = random.Random(77)
+    rows = [(k, words(rng, 120, 90_000)) for k in (None, None, 5, 5, 5, 6)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in [*rows, rows[0], rows[2], (7, rows[1][1])]], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, SF), "test-stage")
+    want = [rows[0], (7, rows[1][1]), *rows[2:]]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in docs.collect()) == sorted((str(k), t) for k, t in want)
+    sizes = sorted((str(r["doc_id"]), r["length"]) for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect())
+    assert sizes == sorted((str(k), len(t)) for k, t in want)
+
+
 def test_queries_have_their_columns(spark):
     want = {
         "op3_simhash": ["doc_id", "fingerprint", "component_id"],
