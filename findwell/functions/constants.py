@@ -50,3 +50,7 @@ BROWSE_IMAGE_EXTENSIONS = IMAGE_EXTENSIONS + ("svg", "heic", "avif")
 FINDER_IMAGE_EXTENSIONS = IMAGE_EXTENSIONS + ("svg",)
 AUDIO_EXTENSIONS = ("mp3", "wav", "m4a", "flac", "ogg", "aac")
 VIDEO_EXTENSIONS = ("mp4", "mov", "webm", "mkv", "avi")
+
+# A line that is an open task, and a note's front matter.
+TASK = r"^\s*(-\s*)?\[\s?\]"
+FRONTMATTER = r"\A---\r?\n[\s\S]*?\r?\n---\r?\n?"

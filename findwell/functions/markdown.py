@@ -9,15 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from . import constants as K
 from .text import fold
 
-FRONTMATTER = r"\A---\r?\n[\s\S]*?\r?\n---\r?\n?"
 # Front-matter keys that are not searched as values.
 SKIPPED_KEYS = ("aliases", "tags", "cssclass", "cssclasses", "position")
 
 
 def strip_frontmatter(content: Column) -> Column:
-    return F.regexp_replace(content, FRONTMATTER, "")
+    return F.regexp_replace(content, K.FRONTMATTER, "")
 
 
 def headings(content: Column) -> Column:

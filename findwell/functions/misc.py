@@ -71,10 +71,9 @@ def iso_date(day: Column) -> Column:
 
 def capture_line(text: Column, day: Column) -> Column:
     """A task becomes a checkbox with a due date, everything else a bullet."""
-    task = r"^\s*(-\s*)?\[\s?\]"
     trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    body = trimmed(F.regexp_replace(text, task + r"\s*", ""))
-    return F.when(text.rlike(task), F.concat(F.lit("- [ ] "), body, F.lit(" 📅 "), iso_date(day))).otherwise(F.concat(F.lit("- "), trimmed(text)))
+    body = trimmed(F.regexp_replace(text, K.TASK + r"\s*", ""))
+    return F.when(text.rlike(K.TASK), F.concat(F.lit("- [ ] "), body, F.lit(" 📅 "), iso_date(day))).otherwise(F.concat(F.lit("- "), trimmed(text)))
 
 
 def append_to_capture(content: str, line: str) -> str:

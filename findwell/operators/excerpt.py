@@ -3,54 +3,78 @@
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import tokenize
+from ..functions.text import Token, tokenize
 
+ELLIPSIS = "…"
+# Suffixes of embeds that are pictures.
+PICTURES = ("png", "jpg", "jpeg", "webp", "gif", "svg", "avif", "bmp")
 SCHEMA = "text string, ranges array<struct<start:int,end:int>>"
 
 
+def _stretch(hits: list[Token], max_chars: int, weights: dict[str, float]) -> tuple[int, int]:
+    """From which hit to which (inclusive) the distinct terms weigh most, within ``max_chars``; the earliest of equals.
+
+    Both ends move forward only: the right one takes hits in, the left one gives up what lies too far back.
+    """
+    inside: Counter[str] = Counter()
+    left, best, found = 0, 0.0, (0, 0)
+    for right, hit in enumerate(hits):
+        inside[hit.text] += 1
+        while left < right and hit.end - hits[left].start > max_chars:
+            inside[hits[left].text] -= 1
+            left += 1
+        weight = math.fsum(weights.get(t, 1.0) for t, n in inside.items() if n)
+        if weight > best or not right:
+            best, found = weight, (left, right)
+    # the last hit that still fits behind the first one belongs to the stretch as well
+    first, last = found
+    while last + 1 < len(hits) and hits[last + 1].end - hits[first].start <= max_chars:
+        last += 1
+    return first, last
+
+
+def _bounds(source: str, lo: int, hi: int, max_chars: int) -> tuple[int, int]:
+    """The stretch with what room is left shared out on both sides, without the halves of words at its edges."""
+    room = max(0, max_chars - (hi - lo))
+    start, stop = max(0, lo - room // 2), min(len(source), hi + room - room // 2)
+    before, after = source[start:lo], source[hi:stop]
+    if start and not source[start - 1].isspace():
+        gap = re.search(r"\s", before)
+        start = lo if gap is None else start + gap.end()
+    if stop < len(source) and not source[stop].isspace():
+        gap = re.search(r"\s\S*\Z", after)
+        stop = hi if gap is None else hi + gap.start()
+    return start, stop
+
+
 def make_excerpt(source: str, terms, max_chars: int = K.EXCERPT_CHARS, weights: dict[str, float] | None = None) -> tuple[str, list[tuple[int, int]]]:
     """The stretch of at most about ``max_chars`` with the largest weight of distinct terms, and where they stand in it."""
-    wanted, weights = set(terms), weights or {}
+    wanted = frozenset(terms)
     hits = [t for t in tokenize(source) if t.text in wanted]
-    if not hits:
-        lo, hi, hits = 0, min(len(source), max_chars), []
+    if hits:
+        first, last = _stretch(hits, max_chars, weights or {})
+        start, stop = _bounds(source, hits[first].start, hits[last].end, max_chars)
     else:
-        best, lo, hi = -1.0, 0, 0
-        for i, first in enumerate(hits):
-            window, seen = first.end, {}
-            for t in hits[i:]:
-                if t.end - first.start > max_chars:
-                    break
-                seen[t.text] = weights.get(t.text, 1.0)
-                window = t.end
-            if (total := sum(seen.values())) > best:
-                best, lo, hi = total, first.start, window
-        spare = max(0, max_chars - (hi - lo))
-        left, right = max(0, lo - spare // 2), min(len(source), hi + (spare + 1) // 2)
-        # whole words only: a cut word at either edge is left out
-        while 0 < left < lo and not source[left - 1].isspace():
-            left += 1
-        while hi < right < len(source) and not source[right].isspace():
-            right -= 1
-        lo, hi = left, right
-    mark = "…" if lo > 0 else ""
-    text = mark + re.sub(r"[\r\n\t]", " ", source[lo:hi]) + ("…" if hi < len(source) else "")
-    shift = len(mark) - lo
-    return text, [(t.start + shift, t.end + shift) for t in hits if t.start >= lo and t.end <= hi]
+        start, stop = 0, min(len(source), max_chars)
+    shown = re.sub(r"[\r\n\t]", " ", source[start:stop])
+    head, tail = ELLIPSIS * (start > 0), ELLIPSIS * (stop < len(source))
+    return head + shown + tail, [(t.start - start + len(head), t.end - start + len(head)) for t in hits if start <= t.start and t.end <= stop]
 
 
 def render_highlight(text: str, ranges) -> str:
-    """The text as HTML with <mark> around ranges; overlapping and outlying ranges are skipped."""
+    """The text as HTML with <mark> around ranges, clipped to the text; of overlapping ones the first is taken."""
     out, at = [], 0
-    for start, end in sorted((r[0], r[1]) for r in ranges):
-        if start < at or end > len(text) or end <= start:
+    for start, end in sorted((r[0], min(r[1], len(text))) for r in ranges):
+        if start < at or end <= start:
             continue
         out += [html.escape(text[at:start]), "<mark>", html.escape(text[start:end]), "</mark>"]
         at = end
@@ -80,7 +104,7 @@ def title_ranges(basename: str, matched) -> list[tuple[int, int]]:
 def thumbnail_text(col):
     """A note's text for a small preview: without code blocks and embeds that are not images, the first characters."""
     plain = F.regexp_replace(F.regexp_replace(col, r"(?s)```.*?```", ""), r"(?s)~~~.*?~~~", "")
-    plain = F.regexp_replace(plain, r"(?i)!\[\[(?![^\]]*\.(png|jpe?g|webp|gif|svg|avif|bmp))[^\]]+\]\]", "")
+    plain = F.regexp_replace(plain, rf"(?i)!\[\[(?![^\]]*\.({'|'.join(PICTURES)}))[^\]]+\]\]", "")
     return F.substring(plain, 1, K.THUMBNAIL_CHARS)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
+from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -54,9 +56,16 @@ def of_type(kind: str, ext: Column, doc_type: Column | None = None) -> Column:
 DATE_PRESETS = {"today": 0, "week": 7, "month": 30, "year": 365}
 
 
-def since(preset: str, now_ms: int) -> int:
-    """The oldest time of a date preset: midnight (UTC) for today, a rolling span for the others."""
-    return now_ms - now_ms % K.DAY_MS if preset == "today" else now_ms - DATE_PRESETS[preset] * K.DAY_MS
+def since(preset: str, now_ms: int, zone: str | None = None) -> int:
+    """The oldest time of a date preset: midnight for today, a rolling span for the others. zone: where midnight is; by
+    default the session's time zone."""
+    if preset != "today":
+        return now_ms - DATE_PRESETS[preset] * K.DAY_MS
+    if zone is None:
+        active = SparkSession.getActiveSession()
+        zone = active.conf.get("spark.sql.session.timeZone") if active else "UTC"
+    now = datetime.fromtimestamp(now_ms / 1000, ZoneInfo(zone))
+    return int(now.replace(hour=0, minute=0, second=0, microsecond=0).timestamp() * 1000)
 
 
 # Word lists of the destructive-command heuristic.
@@ -72,4 +81,4 @@ def is_destructive(text: Column) -> Column:
 
 
 def is_task_line(text: Column) -> Column:
-    return text.rlike(r"^\s*(-\s*)?\[\s?\]")
+    return text.rlike(K.TASK)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import fold, fold_text
+from ..functions.text import fold, fold_text, units, utf16_length
 
 
 def bounded_levenshtein(a: Column, b: Column, most: int) -> Column:
@@ -16,24 +16,25 @@ def bounded_levenshtein(a: Column, b: Column, most: int) -> Column:
 
 
 def max_distance(term: str) -> int:
-    return 2 if len(term) > 6 else 1
+    return 2 if units(term) > 6 else 1
 
 
 def fuzzy_candidates(dictionary: DataFrame, target: str, most: int | None = None) -> DataFrame:
     """(term, dist) of other terms within the distance; the length band is tested before the distance."""
     most = max_distance(target) if most is None else most
-    band = dictionary.where(F.col("len").between(len(target) - most, len(target) + most) & (F.col("term") != target))
+    band = dictionary.where(F.col("len").between(units(target) - most, units(target) + most) & (F.col("term") != target))
     return band.select("term", bounded_levenshtein(F.col("term"), F.lit(target), most).alias("dist")).where(F.col("dist") <= most).orderBy("dist", "term")
 
 
 def fuzzy_candidates_many(dictionary: DataFrame, targets: DataFrame) -> DataFrame:
-    """For targets (query_id, group_id, target): (query_id, group_id, term, dist). The targets are the query set;
+    """For targets (query_id, group_id, target): (query_id, group_id, term, dist, df). The targets are the query set;
     the join runs on exact length, so only terms of the band meet."""
-    most = F.when(F.length("target") > 6, 2).otherwise(1)
-    wanted = targets.withColumn("most", most).withColumn("len", F.explode(F.sequence(F.length("target") - F.col("most"), F.length("target") + F.col("most"))))
-    met = wanted.join(dictionary.select("term", "len"), "len").where(F.col("term") != F.col("target"))
+    own = utf16_length(F.col("target"))
+    most = F.when(own > 6, 2).otherwise(1)
+    wanted = targets.withColumn("most", most).withColumn("len", F.explode(F.sequence(own - F.col("most"), own + F.col("most"))))
+    met = wanted.join(dictionary.select("term", "len", "df"), "len").where(F.col("term") != F.col("target"))
     scored = met.withColumn("dist", F.levenshtein("term", "target", 2))
-    return scored.where((F.col("dist") >= 0) & (F.col("dist") <= F.col("most"))).select("query_id", "group_id", "term", "dist")
+    return scored.where((F.col("dist") >= 0) & (F.col("dist") <= F.col("most"))).select("query_id", "group_id", "term", "dist", "df")
 
 
 def subsequence_score(query: str, candidate: Column) -> Column:

@@ -9,18 +9,24 @@ stats      live documents and the mean length of each field (one row)
 
 from __future__ import annotations
 
+import itertools
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.constants import BODY, COMPACT_LEAST, COMPACT_RATIO, FIELDS, PREFIX_CAP, SCHEMA_VERSION, TOKENIZER_VERSION
+from ..sources.stored import materialize, release
 
 N = len(FIELDS)
 TF = [f"tf_{i}" for i in range(N)]
 LEN = [f"len_{i}" for i in range(N)]
+PART_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
 @dataclass(frozen=True)
@@ -29,10 +35,17 @@ class Index:
     postings: DataFrame
     dictionary: DataFrame
     stats: DataFrame
+    facts: dict[str, float] | None = None  # the row of stats, where it is known
 
     def cache(self) -> Index:
         """For interactive use: keeps the small relations, and the documents without bodies, in memory."""
-        return replace(self, docs=self.docs.drop("body").cache(), dictionary=self.dictionary.cache(), stats=self.stats.cache())
+        return replace(self, docs=self.docs.drop("body").cache(), dictionary=self.dictionary.cache(), facts=self.stats.first().asDict())
+
+    def with_facts(self, rows: DataFrame) -> DataFrame:
+        """rows with the columns of stats."""
+        if self.facts is None:
+            return rows.crossJoin(F.broadcast(self.stats))  # one row
+        return rows.withColumns({k: F.lit(v) for k, v in self.facts.items()})
 
     @property
     def live(self) -> DataFrame:
@@ -40,13 +53,20 @@ class Index:
 
 
 def assign_ids(docs: DataFrame, *order: Column, name: str = "doc_id", base: int = 0) -> DataFrame:
-    """Dense ids from ``base`` in the given order, without one task for all rows: rows are range-partitioned,
-    numbered inside their partition, and offset by the counts of the partitions before."""
-    placed = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    placed = placed.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    """Dense ids from ``base`` in the given order, without one task for all rows: rows are range-partitioned and
+    sorted, numbered inside their partition, and offset by the counts of the partitions before.
+
+    Where a row lands depends on sampled bounds and on adaptive coalescing, so it is written down once; counts
+    and offsets are both taken from what was written.
+    """
+    placed = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
+    placed = materialize(placed, "ordered")
+    part, at = F.shiftright("__place", PART_BITS), F.col("__place").bitwiseAND((1 << PART_BITS) - 1)
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    skip = placed.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__skip"))
-    return placed.join(skip, "__part").withColumn(name, F.col("__skip") + F.col("__at") - 1 + base).drop("__part", "__at", "__skip")
+    counts = placed.groupBy(part.alias("__part")).count()
+    skip = counts.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__skip"))
+    numbered = placed.withColumn("__part", part).join(F.broadcast(skip), "__part").withColumn(name, F.col("__skip") + at + base)
+    return numbered.drop("__part", "__place", "__skip")
 
 
 def _spread(docs: DataFrame) -> DataFrame:
@@ -55,13 +75,57 @@ def _spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
+def _postings(fields: list[int], rows: int = 1 << 17):
+    """Arrow batches of (doc_id, a text for each field) to postings, some ``rows`` at a time."""
+
+    def batch(terms: list[str], ids: list[int], tf: list[list[int]], positions: list[list[int]]) -> pa.RecordBatch:
+        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, positions), np.int64, len(positions)))))
+        flat = np.fromiter(itertools.chain.from_iterable(positions), np.int32, int(ends[-1]))
+        counts = np.array(tf, np.int32).reshape(-1, N)
+        columns = [pa.array(terms, pa.string()), pa.array(ids, pa.int64()), *[pa.array(np.ascontiguousarray(counts[:, i])) for i in range(N)]]
+        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], ["term", "doc_id", *TF, "positions"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, ids, tf, positions = [], [], [], []
+        for part in batches:
+            for doc_id, *texts in zip(*[c.to_pylist() for c in part.columns]):
+                own: dict[str, tuple[list[int], list[int]]] = {}
+                for field, text in zip(fields, texts):
+                    if not text:
+                        continue
+                    for term, places in T.term_places(text).items():
+                        entry = own.get(term)
+                        if entry is None:
+                            own[term] = entry = ([0] * N, [])
+                        entry[0][field] = len(places)
+                        if field == BODY:
+                            entry[1].extend(places)
+                terms += own
+                ids += [doc_id] * len(own)
+                for counts, places in own.values():
+                    tf.append(counts)
+                    positions.append(places)
+                if len(terms) >= rows:
+                    yield batch(terms, ids, tf, positions)
+                    terms, ids, tf, positions = [], [], [], []
+        if terms:
+            yield batch(terms, ids, tf, positions)
+
+    return run
+
+
+POSTING = f"term string, doc_id long, {', '.join(f'{t} int' for t in TF)}, positions array<int>"
+
+
 def postings_of(docs: DataFrame, lite: bool = False) -> DataFrame:
-    """Postings of documents with a text column for each field (absent ones are empty)."""
-    fields = {i: F.coalesce(F.col(name), F.lit("")) for i, name in enumerate(FIELDS) if name in docs.columns and not (lite and i == BODY)}
-    rows = T.token_rows(_spread(docs), "doc_id", fields)
-    tf = [F.count_if(F.col("field") == i).cast("int").alias(TF[i]) for i in range(N)]
-    positions = F.sort_array(F.collect_list(F.when(F.col("field") == BODY, F.col("pos")))).alias("positions")
-    return rows.groupBy("term", "doc_id").agg(*tf, positions)
+    """Postings of documents with a text column for each field (absent ones are empty).
+
+    A document gives all its postings at once, so nothing is shuffled. The work is done on Arrow batches: counting
+    and folding in higher-order functions and aggregations of the JVM took several times as long (see README).
+    """
+    fields = {i: F.col(name).cast("string") for i, name in enumerate(FIELDS) if name in docs.columns and not (lite and i == BODY)}
+    texts = _spread(docs.select(F.col("doc_id").cast("long"), *[c.alias(f"__{i}") for i, c in fields.items()]))
+    return texts.mapInArrow(_postings(list(fields)), POSTING)
 
 
 def dictionary_of(postings: DataFrame) -> DataFrame:
@@ -101,7 +165,10 @@ def build_index(docs: DataFrame, lite: bool = False) -> Index:
 def build_and_save(docs: DataFrame, path: str, lite: bool = False) -> None:
     """As build_index and save, but texts are tokenized once: the other relations are made from the written postings."""
     spark = docs.sparkSession
-    _write_postings(postings_of(docs, lite), path)
+    # written as they come first: sampling the bounds of the range partitions would else tokenize everything twice
+    cut = materialize(postings_of(docs, lite), "postings")
+    _write_postings(cut, path)
+    release(cut)
     postings = spark.read.parquet(f"{path}/postings")
     joined = _described(docs, postings, lite)
     save(Index(joined, postings, dictionary_of(postings), stats_of(joined)), path, postings=False)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from .index import LEN, TF, Index
 
-GROUPS = "query_id long, group_id int, weight double, variant string, variant_rank int"
+GROUPS = "query_id long, group_id int, weight double, variant string, variant_rank int"  # a column df may follow
 PHRASES = "query_id long, phrase_id int, words array<string>"
 
 
@@ -55,20 +55,26 @@ def frecency(count: Column, last_opened_ms: Column, now_ms: int) -> Column:
     return F.when(count > 0, boost).otherwise(1.0)
 
 
+def with_df(index: Index, groups: DataFrame) -> DataFrame:
+    """Groups with their variants' document frequency; unknown variants go."""
+    return groups if "df" in groups.columns else groups.join(index.dictionary.select(F.col("term").alias("variant"), "df"), "variant")
+
+
 def contributions(index: Index, groups: DataFrame, fields: tuple[int, ...], broadcast: bool = True) -> DataFrame:
-    """(query_id, group_id, weight, doc_id, contrib, term): each group's best variant for each document."""
-    asked = groups.join(index.dictionary.select(F.col("term").alias("variant"), "df"), "variant")
+    """(query_id, group_id, weight, doc_id, mtime_ms, contrib, term): each group's best variant for each document."""
+    asked = with_df(index, groups)
     used = [TF[f] for f in fields]
     hits = index.postings.select("term", "doc_id", *used)
     hits = hits.join(F.broadcast(asked) if broadcast else asked, hits["term"] == asked["variant"]).drop("variant")
     lengths = [LEN[f] for f in fields if K.FIELD_B[f]]
-    scored = hits.join(index.docs.where(~F.col("deleted")).select("doc_id", *lengths), "doc_id").crossJoin(F.broadcast(index.stats))
+    scored = index.with_facts(hits.join(index.docs.where(~F.col("deleted")).select("doc_id", "mtime_ms", *lengths), "doc_id"))
     scored = scored.withColumn("t", tnorm(fields)).where("t > 0")
     contrib = idf(F.col("n"), F.col("df")) * F.col("t") / (K.K1 + F.col("t"))
     best = F.max(F.struct(contrib.alias("contrib"), (-F.col("variant_rank")).alias("r"), F.col("term"))).alias("best")
     # one shuffle serves this aggregation and the next one
     dealt = scored.repartition("query_id", "doc_id")
-    return dealt.groupBy("query_id", "group_id", "weight", "doc_id").agg(best).select("query_id", "group_id", "weight", "doc_id", "best.contrib", "best.term", (-F.col("best.r")).alias("variant_rank"))
+    kept = dealt.groupBy("query_id", "group_id", "weight", "doc_id").agg(best, F.any_value("mtime_ms").alias("mtime_ms"))
+    return kept.select("query_id", "group_id", "weight", "doc_id", "mtime_ms", "best.contrib", "best.term", (-F.col("best.r")).alias("variant_rank"))
 
 
 def min_window(lists: Column) -> Column:
@@ -92,6 +98,7 @@ class RankOptions:
     broadcast: bool = True  # the query relation is small
     rescore_top: int = K.RESCORE_TOP
     queries: int | None = None  # how many there are, if known: bounds the rows of the second phase
+    single: bool = False  # no query has a second term: nothing to rescore
 
     @property
     def few(self) -> bool:
@@ -118,13 +125,17 @@ def rank(index: Index, groups: DataFrame, options: RankOptions, phrases: DataFra
     if restrict is not None:
         best = restrict(best)
     found = F.array_sort(F.collect_list(F.struct("group_id", "variant_rank", "term"))).alias("won")
-    docs = best.groupBy("query_id", "doc_id").agg(F.sum(F.col("contrib") * F.col("weight")).alias("base"), F.count("*").alias("n_groups"), found)
-    times = index.docs.where(~F.col("deleted")).select("doc_id", "mtime_ms")
-    first = docs.join(times, "doc_id").withColumn("first_score", F.col("base") * coverage(F.col("n_groups")) * recency(F.col("mtime_ms"), options.now_ms))
+    docs = best.groupBy("query_id", "doc_id").agg(
+        F.sum(F.col("contrib") * F.col("weight")).alias("base"), F.count("*").alias("n_groups"), F.any_value("mtime_ms").alias("mtime_ms"), found
+    )
+    first = docs.withColumn("first_score", F.col("base") * coverage(F.col("n_groups")) * recency(F.col("mtime_ms"), options.now_ms))
     order = [_steady("first_score"), F.col("won")[0]["group_id"], F.col("won")[0]["variant_rank"], F.col("doc_id")]
     top = first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= max(options.rescore_top, options.limit))
     terms = F.array_distinct(F.transform("won", lambda w: w["term"]))
     top = top.select("query_id", "doc_id", "first_score", "place", terms.alias("matched"))
+    if options.single and phrases is None:
+        out = top.where(F.col("place") <= options.limit).withColumn("score", F.col("first_score"))
+        return out.select("query_id", "doc_id", "score", "first_score", "matched", F.col("place").alias("rank"))
 
     # phase two: positions of the winning terms, for the best documents only
     wanted = top.select("query_id", "doc_id", F.explode("matched").alias("term"))

@@ -22,7 +22,7 @@ from ..operators import filters as P
 from ..operators import fuzzy as Z
 from ..operators import index as I
 from ..operators import rank as R
-from ..operators.fuse import reciprocal_rank_fusion, with_rank
+from ..operators.fuse import reciprocal_rank_fusion
 from ..sources.files import html_documents
 from ..streaming.feed import last_event_wins, opens
 from .search import search_many
@@ -338,21 +338,32 @@ def prefix_tier(spark, sf_dir):
     return scores(spark, sf_dir, "thing wh")
 
 
-@query(
-    f"WITH {INDEX} SELECT term, CAST(levenshtein(term, 'thingion') AS INTEGER) AS dist FROM dict WHERE term <> 'thingion' AND regexp_full_match(term, '[a-z0-9]+') AND levenshtein(term, 'thingion') <= 2"
-)
+def distance_sql(term: str, target: str) -> str:
+    """Edit distance in code points (DuckDB's own counts bytes), row by row of the table. Lists of one number stand
+    for numbers, as a fold's items and its state have one type."""
+    codes = f"list_transform(string_split({term}, ''), lambda x: [CAST(unicode(x) AS BIGINT)])"
+    to = "[" + ", ".join(f"[CAST({i} AS BIGINT), {ord(c)}]" for i, c in enumerate(target, 1)) + "]"
+    step = f"lambda row, x: list_reduce({to}, lambda new, y: list_append(new, least(row[y[1] + 1] + 1, new[y[1]] + 1, row[y[1]] + CASE WHEN y[2] = x[1] THEN 0 ELSE 1 END)), [row[1] + 1])"
+    start = "[" + ", ".join(f"CAST({i} AS BIGINT)" for i in range(len(target) + 1)) + "]"
+    return f"CAST(list_reduce({codes}, {step}, {start})[{len(target) + 1}] AS INTEGER)"
+
+
+def near_sql(target: str) -> str:
+    """(term, dist): other terms within two edits. The difference of lengths, which bounds the distance, is tested first."""
+    return f"SELECT * FROM (SELECT term, {distance_sql('term', target)} AS dist FROM dict WHERE term <> '{target}' AND abs(length(term) - {len(target)}) <= 2) WHERE dist <= 2"
+
+
+@query(f"WITH {INDEX} {near_sql('thingion')}")
 def fuzzy_candidates(spark, sf_dir):
-    found = Z.fuzzy_candidates(index(spark, sf_dir).dictionary, "thingion")
-    return found.where(F.col("term").rlike("^[a-z0-9]+$"))
+    return Z.fuzzy_candidates(index(spark, sf_dir).dictionary, "thingion")
 
 
-FUZZY = f"""{exact_groups_sql((0, ["thinthh"]))} UNION ALL SELECT 0, 1, {K.FUZZY_WEIGHT}, term, row_number() OVER (ORDER BY levenshtein(term, 'thinthh'), term)
- FROM dict WHERE regexp_full_match(term, '[ -~]+') AND term <> 'thinthh' AND levenshtein(term, 'thinthh') <= 2"""
+FUZZY = f"""{exact_groups_sql((0, ["thinthh"]))} UNION ALL SELECT 0, 1, {K.FUZZY_WEIGHT}, term, row_number() OVER (ORDER BY dist, term) FROM ({near_sql("thinthh")})"""
 
 
-@query(f"WITH {ranked_sql(FUZZY)} SELECT doc_id FROM s")
+@query(proximity_sql(FUZZY))
 def fuzzy_tier(spark, sf_dir):
-    return scores(spark, sf_dir, "thinthh ", fuzzy="always").select("doc_id")
+    return scores(spark, sf_dir, "thinthh ", fuzzy="always")
 
 
 @query()
@@ -415,16 +426,15 @@ def frecency_rerank(spark, sf_dir):
 
 
 def _two_lists(spark, sf_dir) -> list[DataFrame]:
+    """All documents in two orders."""
     d = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "doc_id").alias("path"), "doc_id", "n_chars")
-    by_size = d.orderBy(F.desc("n_chars"), "doc_id").limit(200)
-    by_id = d.orderBy("doc_id").limit(300)
-    pick = lambda x, name, *o: with_rank(x, *o).select("path", "rank", F.lit(name).alias("source"))
-    return [pick(by_size, "size", F.desc("n_chars"), "doc_id"), pick(by_id, "id", "doc_id")]
+    pick = lambda name, *o: I.assign_ids(d, *o, name="rank").select("path", "rank", F.lit(name).alias("source"))
+    return [pick("size", F.desc("n_chars"), F.col("doc_id")), pick("id", F.col("doc_id"))]
 
 
 def rrf_sql(a: float, b: float) -> str:
-    return f"""WITH a AS (SELECT source || '/' || doc_id AS path, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS r FROM documents QUALIFY r < 200),
-b AS (SELECT source || '/' || doc_id AS path, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents QUALIFY r < 300)
+    return f"""WITH a AS (SELECT source || '/' || doc_id AS path, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS r FROM documents),
+b AS (SELECT source || '/' || doc_id AS path, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents)
 SELECT coalesce(a.path, b.path) AS path, round(coalesce({a} / ({K.RRF_K} + a.r), 0) + coalesce({b} / ({K.RRF_K} + b.r), 0), 6) AS score, CASE WHEN a.path IS NULL THEN 'id' ELSE 'size' END AS source
 FROM a FULL JOIN b ON a.path = b.path"""
 
@@ -574,9 +584,13 @@ COMMANDS = (
 )
 
 
+def destructive_sql(text: str) -> str:
+    test = lambda pattern: f"regexp_matches({text}, '{pattern}')"
+    return f"NOT {test(P.VIEW_VERBS)} AND ({test(P.STRONG_VERBS)} OR {test(P.WEAK_VERBS)} AND {test(P.DATA_NOUNS)})"
+
+
 @query(
-    "SELECT id, CASE WHEN contains(id, ':') THEN split_part(id, ':', 1) ELSE 'app' END AS source, NOT regexp_matches(t, '(?i)^(show|open|view|reveal)\\b') AND (regexp_matches(t, '(?i)\\b(delete|trash|erase|wipe|purge|overwrite)\\b') "
-    "OR regexp_matches(t, '(?i)\\b(remove|clear|reset|discard)\\b') AND regexp_matches(t, '(?i)\\b(files?|notes?|folders?|vaults?|attachments?|history|data|database|cache|backups?|all)\\b')) AS destructive "
+    f"SELECT id, CASE WHEN contains(id, ':') THEN split_part(id, ':', 1) ELSE 'app' END AS source, {destructive_sql('t')} AS destructive "
     "FROM (SELECT id, name || ' ' || id AS t FROM (VALUES " + ", ".join(f"('{i}', '{n}')" for i, n in COMMANDS) + ") v(id, name))"
 )
 def destructive_flag(spark, sf_dir):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,11 +15,12 @@ from ..functions import constants as K
 from ..operators import fuzzy as Z
 from ..operators.filters import allowed
 from ..operators.index import Index, prefix_terms
-from ..operators.rank import GROUPS, PHRASES, RankOptions, idf, rank
+from ..operators.rank import GROUPS, PHRASES, RankOptions, idf, rank, with_df
 from .parser import ParsedQuery, parse_query
 
 SMALL = 50_000  # rows of a query relation up to which it is broadcast
 PUSHED = 200  # terms up to which they are written into the scan's filter
+FEW_QUERIES = 8  # queries up to which their terms are looked up beforehand
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
 
@@ -25,7 +28,7 @@ _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string
 def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """Rows that the driver has, as a local relation (no job reads it)."""
     fields = [f.split(" ", 1) for f in schema.split(", ")]
-    columns = list(zip(*rows))
+    columns = list(zip(*rows)) or [()] * len(fields)
     return spark.createDataFrame(pa.table([pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields]))
 
 
@@ -39,22 +42,37 @@ def _narrowed(index: Index, exact: set[str], prefixes: set[str]) -> Index:
     return replace(index, postings=index.postings.where(test), dictionary=index.dictionary.where(test))
 
 
+FOUND = "query_id long, doc_id long, score double, first_score double, matched array<string>, rank int"
+_DF = GROUPS + ", df long"
+
+
+def _resolved(index: Index, exact: list[tuple[int, int, str]], prefixes: list[tuple[int, int, str]]) -> list[tuple]:
+    """Group rows of a few queries, looked up by one job: at most a row for each term and ``PREFIX_CAP`` for each prefix."""
+    terms = sorted({t for _, _, t in exact})
+    parts = [index.dictionary.where(F.col("term").isin(terms)).select("term", "df", F.lit(None).cast("string").alias("prefix"))]
+    parts += [prefix_terms(index.dictionary, p).select("term", "df", F.lit(p).alias("prefix")) for p in sorted({p for _, _, p in prefixes})]
+    df, under = {}, defaultdict(list)
+    for r in reduce(DataFrame.unionByName, parts).collect():
+        if r["prefix"] is None:
+            df[r["term"]] = r["df"]
+        else:
+            under[r["prefix"]].append((-r["df"], r["term"]))
+    rows = [(q, g, 1.0, t, 0, df[t]) for q, g, t in exact if t in df]
+    for q, g, p in prefixes:
+        rows += [(q, g, K.PREFIX_WEIGHT, t, i + 1, -n) for i, (n, t) in enumerate(sorted(under[p])) if t != p]
+    return rows
+
+
 def _prefix_groups(index: Index, wanted: list[tuple[int, int, str]]) -> DataFrame:
     """Group rows of prefix expansions for (query_id, group_id, prefix): the most frequent terms, without the
     prefix itself. Terms meet prefixes by equality on their first characters."""
-    spark = index.docs.sparkSession
-    asked = _local(spark, wanted, "query_id long, group_id int, prefix string")
-    if len(wanted) == 1:  # a range scan of the sorted dictionary
-        q, g, p = wanted[0]
-        found = prefix_terms(index.dictionary, p).select("term", "df", F.lit(p).alias("prefix"))
-    else:
-        sizes = sorted({len(p) for _, _, p in wanted})
-        heads = F.explode(F.array_distinct(F.array(*[F.substring("term", 1, n) for n in sizes]))).alias("prefix")
-        found = index.dictionary.select("term", "df", heads)
-    hits = found.join(F.broadcast(asked) if len(wanted) <= SMALL else asked, "prefix")
+    asked = _local(index.docs.sparkSession, wanted, "query_id long, group_id int, prefix string")
+    sizes = sorted({len(p) for _, _, p in wanted})
+    heads = F.explode(F.array_distinct(F.array(*[F.substring("term", 1, n) for n in sizes]))).alias("prefix")
+    hits = index.dictionary.select("term", "df", heads).join(F.broadcast(asked) if len(wanted) <= SMALL else asked, "prefix")
     place = F.row_number().over(Window.partitionBy("query_id", "group_id").orderBy(F.desc("df"), "term"))
     kept = hits.withColumn("place", place).where((F.col("place") <= K.PREFIX_CAP) & (F.col("term") != F.col("prefix")))
-    return kept.select("query_id", "group_id", F.lit(K.PREFIX_WEIGHT).alias("weight"), F.col("term").alias("variant"), F.col("place").cast("int").alias("variant_rank"))
+    return kept.select("query_id", "group_id", F.lit(K.PREFIX_WEIGHT).alias("weight"), F.col("term").alias("variant"), F.col("place").cast("int").alias("variant_rank"), "df")
 
 
 def _fuzzy_groups(index: Index, wanted: list[tuple[int, int, str]], exact: list[tuple[int, str]]) -> DataFrame:
@@ -63,7 +81,7 @@ def _fuzzy_groups(index: Index, wanted: list[tuple[int, int, str]], exact: list[
     known = _local(spark, exact, "query_id long, term string")
     found = Z.fuzzy_candidates_many(index.dictionary, F.broadcast(targets) if len(wanted) <= SMALL else targets).join(known, ["query_id", "term"], "left_anti")
     place = F.row_number().over(Window.partitionBy("query_id", "group_id").orderBy("dist", "term"))
-    return found.select("query_id", "group_id", F.lit(K.FUZZY_WEIGHT).alias("weight"), F.col("term").alias("variant"), place.alias("variant_rank"))
+    return found.select("query_id", "group_id", F.lit(K.FUZZY_WEIGHT).alias("weight"), F.col("term").alias("variant"), place.alias("variant_rank"), "df")
 
 
 def _restriction(index: Index, parsed: dict[int, ParsedQuery], path_filters, tag_filters, min_mtime) -> Callable[[DataFrame], DataFrame] | None:
@@ -114,22 +132,30 @@ def search_many(
         prefixes += [(q, len(p.exact) + i, t) for i, t in enumerate(typed)]
         near += [(q, len(p.exact) + len(typed) + i, t) for i, t in enumerate(p.terms)]
         phrases += [(q, i, words) for i, words in enumerate(p.phrases)]
-    groups = _local(spark, rows, GROUPS)
-    if prefixes:
-        groups = groups.unionByName(_prefix_groups(index, prefixes))
+    exact = {t for p in parsed.values() for t in p.exact}
+    heads = {t for _, _, t in prefixes}
+    if len(parsed) <= FEW_QUERIES and len(exact) + len(heads) <= PUSHED:
+        known = _resolved(index, [(q, g, t) for q, g, _, t, _ in rows], prefixes)
+        groups = _local(spark, known, _DF)
+    else:
+        groups = with_df(index, _local(spark, rows, GROUPS)).select(*[f.split(" ")[0] for f in _DF.split(", ")])
+        if prefixes:
+            groups = groups.unionByName(_prefix_groups(index, prefixes))
     # every prefix expands to at most PREFIX_CAP terms, so the size of the query relation is known beforehand
     small = len(rows) + K.PREFIX_CAP * len(prefixes) <= SMALL
     spoken = _local(spark, phrases, PHRASES) if phrases else None
     restrict = _restriction(index, parsed, path_filters, tag_filters, min_mtime)
-    options = RankOptions(now_ms, limit, title_only, small, rescore_top, len(parsed))
+    single = not prefixes and all(len(p.exact) == 1 for p in parsed.values())
+    options = RankOptions(now_ms, limit, title_only, small, rescore_top, len(parsed), single)
+    wider = RankOptions(now_ms, limit, title_only, False, rescore_top, len(parsed))
     if fuzzy == "always" and near:
         wide = groups.unionByName(_fuzzy_groups(index, near, [(q, t) for q, p in parsed.items() for t in p.exact]))
-        found = rank(index, wide, RankOptions(now_ms, limit, title_only, False, rescore_top, len(parsed)), spoken, restrict)
+        found = rank(index, wide, wider, spoken, restrict)
     else:
-        narrow = _narrowed(index, {t for p in parsed.values() for t in p.exact}, {t for _, _, t in prefixes})
-        found = rank(narrow, groups, options, spoken, restrict)
+        found = rank(_narrowed(index, exact, heads), groups, options, spoken, restrict)
         if fuzzy == "on-sparse" and near:
-            found = found.persist()
+            if options.few:  # at most ``limit`` rows a query: they need not be found twice
+                found = _local(spark, [tuple(r) for r in found.collect()], FOUND)
             counts = {r[0]: r[1] for r in found.groupBy("query_id").count().collect()}  # one row a query
             sparse = [q for q in parsed if counts.get(q, 0) < K.FUZZY_SPARSE]
             again = [x for x in near if x[0] in set(sparse)]
@@ -137,7 +163,7 @@ def search_many(
                 more = _fuzzy_groups(index, again, [(q, t) for q in sparse for t in parsed[q].exact])
                 changed = _local(spark, [(q,) for q in sparse], "query_id long")
                 wide = groups.join(F.broadcast(changed), "query_id", "left_semi").unionByName(more)
-                second = rank(index, wide, RankOptions(now_ms, limit, title_only, False, rescore_top, len(parsed)), spoken, restrict)
+                second = rank(index, wide, wider, spoken, restrict)
                 found = found.join(F.broadcast(changed), "query_id", "left_anti").unionByName(second)
     described = index.docs.select("doc_id", "path", "basename", "doc_type", "tags", "mtime_ms")
     return described.join(F.broadcast(found) if options.few else found, "doc_id").select(*empty.columns)

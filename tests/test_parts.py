@@ -59,6 +59,7 @@ def test_excerpt():
     assert E.make_excerpt("short text", ["none"]) == ("short text", [])
     assert E.make_excerpt("common x " * 3 + "z " * 200 + "rare", ["rare", "common"], 20, {"rare": 9.0})[1][-1][1] <= 22
     assert E.render_highlight("a<b cat", [(4, 7), (5, 9), (0, 1)]) == "<mark>a</mark>&lt;b <mark>cat</mark>"
+    assert E.render_highlight("cat", [(1, 9), (5, 7)]) == "c<mark>at</mark>"
     assert E.title_ranges("My Cat", ["cat"]) == [(3, 6)]
 
 

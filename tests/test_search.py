@@ -57,6 +57,13 @@ def test_phrase_title_and_folding(spark, notes):
     assert paths(spark, notes, "perche ", fuzzy="off") == ["note.md"]
 
 
+def test_words_that_decompose_are_found(spark):
+    """Index and queries fold alike: Hangul, ligatures, fractions, letters beyond the basic plane."""
+    index = corpus(spark, {"path": "k.md", "body": "나는 한국어 공부"}, {"path": "f.md", "body": "a \ufb01ne day"}, {"path": "h.md", "body": "½x cup"}, {"path": "a.md", "body": "𝒳𝒴 letters"})
+    for raw, path in (("한국어 ", "k.md"), ("fine ", "f.md"), ("\ufb01ne ", "f.md"), ("½x ", "h.md"), ("XY ", "a.md"), ("한", "k.md")):
+        assert paths(spark, index, raw, fuzzy="off") == [path], raw
+
+
 def test_blank_and_filter_only(spark, notes):
     assert paths(spark, notes, "   ") == [] and paths(spark, notes, "tag:career") == []
 

@@ -46,10 +46,32 @@ def test_columns_agree_with_python(spark):
     assert sorted((r["id"], r["term"], r["pos"]) for r in flat) == sorted((i, t, p) for i, v in got.items() for t, p in v)
 
 
-def test_exact_fold_handles_expansions(spark):
-    df = spark.createDataFrame([("ﬁne",), ("plain",)], "t string")
-    assert [r[0] for r in df.select(T.fold_exact(F.col("t"))).collect()] == ["fine", "plain"]
-    assert [r[0] for r in df.select(T.needs_exact(F.col("t"))).collect()] == [True, False]
+def test_fold_is_exact_for_every_character(spark):
+    """Characters that decompose to several (ligatures, fractions, Hangul, astral letters) and marks, as on the driver."""
+    texts = ["ﬁne", "plain", "½", "한국어", "𝒳y", "①②", "ŉ", "Å\u0301", "İI", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(T.fold(F.col("t"))).collect()] == [t and T.fold_text(t) for t in texts]
+
+
+def test_places_agree_with_tokens():
+    for text in ["the ChatGPT model HTTPServer v2", "https://Foo.barBaz HTTP://x1 ab://cd", "한국어 ﬁne ÀÉÎ Straße 𝒳 𝒳y 日本語 a_b", "aB aB aB", ""]:
+        assert sorted((t, p) for t, places in T.term_places(text).items() for p in places) == sorted(positions(text))
+
+
+def test_ids_lose_no_rows(spark):
+    """Wide rows over many partitions, which adaptive execution coalesces in different ways; counted both ways."""
+    from findwell.operators import index as I
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        rows = spark.range(6000).select(F.col("id").alias("key"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 40).alias("body"), F.concat(F.lit("p"), F.sha2(F.col("id").cast("string"), 256)).alias("path"))
+        got = I.assign_ids(rows.repartition(9), F.col("path"))
+        assert got.agg(F.count("*"), F.countDistinct("key"), F.countDistinct("doc_id"), F.min("doc_id"), F.max("doc_id")).first()[:] == (6000, 6000, 6000, 0, 5999)
+        assert [r["path"] for r in got.orderBy("doc_id").select("path").collect()] == sorted(r["path"] for r in rows.select("path").collect())
+        assert I.assign_ids(rows.limit(0), F.col("path")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 @settings(max_examples=60, deadline=None)
