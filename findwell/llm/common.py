@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -15,44 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session does not name one (tests in local mode) a temporary folder is made
-    once per process and removed when it ends.
-    """
-    named = spark.sparkContext.getConf().get(CHECKPOINT_DIR) or spark.conf.get(CHECKPOINT_DIR, None)
-    if named:
-        return named.rstrip("/")
-    if not _local:
-        _local["dir"] = tempfile.mkdtemp(prefix="findwell-")
-        atexit.register(shutil.rmtree, _local["dir"], True)
-    return "file://" + _local["dir"]
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/findwell-{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a written table through Hadoop's file system, wherever it lies."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
+from ..sources.stored import drop_path, materialize, new_path, release, shared_dir  # noqa: F401
 
 def reachable(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it (a path that workers lack does no harm;

@@ -17,15 +17,15 @@ q-gram match verbatim; repeated items and rows give repeated matches; a null key
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from .common import keyed_texts, mix64
+from .common import keyed_texts, materialize, mix64
 
 Q = 9
 RATE = 0.08
@@ -243,14 +243,33 @@ def leaks(
 ) -> DataFrame:
     """(key, item, start, stop, edits): each document and each item that occurs in it within its edit budget.
 
-    What is broadcast is one block of items; the documents are scanned once for each block.
+    What is broadcast is one block of items; the documents are scanned once for each block. Of several blocks each is
+    done, written and taken back before the next one is sent out.
     """
     spark = df.sparkSession
-    told = [spark.sparkContext.broadcast(x) for x in blocks(items, item_key, item_text, q, rate, block_items, block_chars)]
-    parts = [keyed_texts(df, key, text).mapInArrow(_scan(x), SCHEMA) for x in told]
+    parts = [f(keyed_texts(df, key, text)) for f in _rounds(spark, blocks(items, item_key, item_text, q, rate, block_items, block_chars), lambda told: lambda own: own.mapInArrow(_scan(told), SCHEMA))]
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SCHEMA)
 
 
+def _rounds(spark: SparkSession, indexes: Iterator[Index], step) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function of a DataFrame for each block; a single block is left lazy."""
+    own = next(indexes, None)
+    alone = True
+    while own is not None:
+        told, own = spark.sparkContext.broadcast(own), next(indexes, None)
+        alone = alone and own is None
+
+        def run(df: DataFrame, told=told, lazy=alone) -> DataFrame:
+            out = step(told)(df)
+            if lazy:
+                return out
+            out = materialize(out, "block")
+            told.destroy()
+            return out
+
+        yield run
+
+
 def clean(
     df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
     q: int = Q, rate: float = RATE, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS,
@@ -258,6 +277,7 @@ def clean(
     """df's own rows and columns, without the documents that hold an item: one scan a block of items, no shuffle."""
     names, at = df.columns, df.columns.index(text)
     out = df.toDF(*[f"c{i}" for i in range(len(names))])
-    for index in blocks(items, item_key, item_text, q, rate, block_items, block_chars):
-        out = out.mapInArrow(_without(df.sparkSession.sparkContext.broadcast(index), at), out.schema)
+    indexes = blocks(items, item_key, item_text, q, rate, block_items, block_chars)
+    for f in _rounds(df.sparkSession, indexes, lambda told: lambda own: own.mapInArrow(_without(told, at), own.schema)):
+        out = f(out)
     return out.toDF(*names)

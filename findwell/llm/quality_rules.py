@@ -41,13 +41,14 @@ SCHEMA = (
 class Rules:
     """Limits. Base: ``min_words`` words at least, at most ``max_repeat_percent`` of them in repeated windows.
     Method: repeated substrings cover at most ``max_fraction`` of the word characters, and the
-    longest has at most ``max_longest`` words and ``max_longest_share`` of the document's words."""
+    longest has at most ``max_longest`` words and ``max_longest_share`` of the document's words. Both reach below what
+    the base rule lets pass: a repeat that is said twice covers twice its length."""
 
     min_words: int = 20
     max_repeat_percent: int = 30
-    max_fraction: float = 0.30
-    max_longest: int = 2000
-    max_longest_share: float = 0.25
+    max_fraction: float = 0.20
+    max_longest: int = 500
+    max_longest_share: float = 0.12
     block_bytes: int = 2 << 20
 
 

@@ -44,8 +44,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.removal(table(spark, sf_dir, "documents"))
-    return found.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """The 400-byte digest, and how many words of the document stand in passages of over 50 words that are found elsewhere
+    too: such a passage has about 320 bytes, so few of them reach 400."""
+    found = suffix_dedup.removal(table(spark, sf_dir, "documents"), words=suffix_dedup.WORDS)
+    return found.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "passage_words", (F.col("passage_words") > 0).alias("has_passages"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +61,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("key", "doc_id").drop("repeat_spans")
 
 
-def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.assign(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+def op8_best_fit(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), tokenizer)
+
+
+def packed(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Documents packed by their number of tokens, the end id included."""
+    import public_tokenizers
+
+    counted = token_orc.counts(docs, tokenizer or public_tokenizers.path(TOKENIZER))
+    return packing.assign(counted, "key", F.col("n_tokens")).withColumnRenamed("key", "doc_id")
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,13 @@
 Words are runs of anything but ASCII white space, with A-Z lower-cased; each run of ``width`` words is a shingle; fewer words
 form one. Two texts are near-duplicates if their sets of shingles (as 64-bit hashes) have a Jaccard similarity of 0.8 or more.
 On SimHash fingerprints of 64 bits such pairs differ in ten bits on average, and a ball that covers them reaches nearly every
-shard, so candidates come from MinHash here, and each is confirmed on the sets themselves:
+shard. So the vantage-point trees of ``simhash`` give the candidates within their two bits, MinHash those beyond, and each is confirmed on
+the sets themselves:
 
 1. Texts of equal sets are one node. Of each node ``BANDS`` bands of ``ROWS`` minima are taken; a pair of similarity 0.8
    shares no band with probability (1 - 0.8**4)**24, 3 in a million.
-2. The nodes of each band are compared with the least of them. Confirmed pairs give components.
+2. The nodes of each band are compared with the least of them, and each with the least of its SimHash component. Confirmed pairs
+   give components.
 3. Bands of three or more nodes that are still in different components get all their pairs counted, through postings of
    the shingles in the band. A band returns at most one edge a node.
 """
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, chunks, materialize, mix64
+from . import simhash
 from .simhash import Union, components
 from .suffix_dedup import BLOCK, word_hashes
 
@@ -125,6 +128,15 @@ def _band(group: pa.Table) -> pa.Table:
     return pa.table({"a": ids[moved], "b": ids[label[moved]]})
 
 
+def fingerprint_pairs(texts: DataFrame, prints: DataFrame) -> DataFrame:
+    """(a, a_row, b, b_row): nodes and the least row of their SimHash component, where that is another node."""
+    linked = simhash.near_duplicates(texts, "row", "text", width=WIDTH).where("key <> component").select("key", "component").distinct()
+    nodes = prints.select("row", "id").distinct()
+    a = linked.join(nodes.select(F.col("row").alias("key"), F.col("id").alias("a")), "key")
+    both = a.join(nodes.select(F.col("row").alias("component"), F.col("id").alias("b")), "component").where("a <> b")
+    return both.groupBy("a", "b").agg(F.min("key").alias("a_row"), F.min("component").alias("b_row"))
+
+
 def near_duplicates(df: DataFrame, row: str, text: str) -> DataFrame:
     """(row, component) for every row of df; rows: any long, equal ones have equal texts."""
     texts = df.select(F.col(row).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -134,10 +146,12 @@ def near_duplicates(df: DataFrame, row: str, text: str) -> DataFrame:
     some = keyed.groupBy("band").agg(F.sort_array(F.collect_list(F.struct("id", "row"))).alias("members")).where("size(members) > 1")
     bands = materialize(some.groupBy("members").agg(F.min("band").alias("band")), "bands")
     flat = bands.select("band", F.size("members").alias("n"), F.col("members")[0]["id"].alias("b"), F.explode("members").alias("m")).select("band", "n", "b", F.col("m")["id"].alias("id"), F.col("m")["row"].alias("row"))
-    needed = flat.select("id", "row").distinct()
+    close = materialize(fingerprint_pairs(texts, prints), "close")
+    ends = [close.select(F.col(x).alias("id"), F.col(f"{x}_row").alias("row")) for x in ("a", "b")]
+    needed = flat.select("id", "row").unionByName(ends[0]).unionByName(ends[1]).groupBy("id").agg(F.min("row").alias("row"))
     found = texts.join(needed.hint("shuffle_hash"), "row").select("id", "text").mapInArrow(_sets, "id long, shingles array<long>")
     sets = materialize(found.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
-    pairs = flat.where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    pairs = flat.where("id <> b").select(F.col("id").alias("a"), "b").unionByName(close.select("a", "b")).distinct()
     other = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(other, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
     near = materialize(both.where(LEAST[1] * F.col("n") >= LEAST[0] * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b"), "near")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, keyed_texts, materialize
+from .common import as_bytes, chunks, keyed_texts, materialize, release
 
 SEED = 42
 _SIGN = np.uint64(1 << 63)
@@ -191,9 +191,15 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     while True:
         hooks = materialize(rest.groupBy("a").agg(F.min("b").alias("p"), F.count("*").alias("n")), label)
         if hooks.where("n > 1").isEmpty():
-            return jump(hooks.select("a", "p"), label)
+            found = jump(hooks.select("a", "p"), label)
+            release(rest)
+            release(hooks)
+            return found
         lower = rest.join(hooks, "a").where("b > p").select(F.col("b").alias("a"), F.col("p").alias("b"))
-        rest = materialize(hooks.select("a", F.col("p").alias("b")).unionByName(lower).distinct(), label)
+        less = materialize(hooks.select("a", F.col("p").alias("b")).unionByName(lower).distinct(), label)
+        release(rest)
+        release(hooks)
+        rest = less
 
 
 def jump(parents: DataFrame, label: str) -> DataFrame:
@@ -201,6 +207,7 @@ def jump(parents: DataFrame, label: str) -> DataFrame:
     while True:
         up = parents.select(F.col("a").alias("p"), F.col("p").alias("g"))
         nxt = materialize(parents.join(up, "p", "left").select("a", F.coalesce("g", "p").alias("p"), F.col("g").isNotNull().alias("moved")), label)
+        release(parents)
         parents = nxt.select("a", "p")
         if nxt.where("moved").isEmpty():
             return parents.select("a", F.col("p").alias("root"))

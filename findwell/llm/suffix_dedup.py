@@ -10,7 +10,7 @@ corpus, the same document included. Matches never cross documents.
    takes them in batches: a batch gets a (sparse) suffix array, is merge-scanned against every level of
    the shard's family for suffixes that share the first ``seed`` bytes or more, and becomes a level;
    levels of equal size are merged, so n suffixes are kept in O(log n) arrays. A level keeps one suffix of
-   each kind, so copies cost no memory. This yields the anchors that occur more than once.
+   each kind, and what has been reported is let go, so copies cost no memory. This yields the anchors that occur more than once.
 3. Exact check. Only for these anchors the bytes around them are fetched. The offsets that an
    anchor may have in a string are one section, or ``HOT_PARTS`` of them for the few anchors with more than one place in
    ``HOT_SHARE``. All strings of a section share the bytes from its least offset before the anchor to
@@ -49,6 +49,7 @@ from .common import as_bytes, chunks, keyed_texts, materialize, mix64
 LENGTH = 400
 SEED = 64
 BLOCK = 1 << 18
+PART_BYTES = 256 << 20
 HOT_SHARE = 1000
 HOT_PARTS = 8
 WORDS = 51
@@ -189,6 +190,10 @@ def named(data: bytes, seed: int = 0) -> int:
 
 
 def _family_scan(seed: int):
+    def told(own: pa.ListArray, where: pa.ListArray, kinds: np.ndarray) -> pa.RecordBatch:
+        many = pa.compute.list_value_length(own).to_numpy()
+        return pa.RecordBatch.from_arrays([own.flatten(), where.flatten(), pa.array(np.repeat(kinds, many))], ["row", "pos", "head"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, taken, begin = Family(), [], [0]
         for batch in batches:
@@ -196,15 +201,21 @@ def _family_scan(seed: int):
                 continue
             heads = as_bytes(batch.column(0))[0].view(f"S{seed}")
             rows, spots = batch.column(1), batch.column(2)
+            kinds = np.array([named(x) for x in batch.column(0).to_pylist()], np.int64)
             found = family.add(heads, np.arange(begin[-1], begin[-1] + len(heads)), pa.compute.list_value_length(rows).to_numpy() > 1)
-            taken.append((rows, spots, pa.array([named(x) for x in batch.column(0).to_pylist()], pa.int64())))
-            begin.append(begin[-1] + len(heads))
+            now = np.sort(found[found >= begin[-1]] - begin[-1])
+            found = np.sort(found[found < begin[-1]])
+            if len(now):
+                yield told(rows.take(pa.array(now)), spots.take(pa.array(now)), kinds[now])
             which = np.searchsorted(begin, found, "right") - 1
             for w in np.unique(which):
-                at = pa.array(found[which == w] - begin[w])
-                own, where, kinds = (x.take(at) for x in taken[w])
-                many = pa.compute.list_value_length(own).to_numpy()
-                yield pa.RecordBatch.from_arrays([own.flatten(), where.flatten(), pa.array(np.repeat(kinds.to_numpy(), many))], ["row", "pos", "head"])
+                places, own, where, names = taken[w]
+                at = np.searchsorted(places, found[which == w] - begin[w])
+                yield told(own.take(pa.array(at)), where.take(pa.array(at)), names[at])
+            # only what has not been reported may be asked for later
+            left = np.delete(np.arange(len(heads)), now)
+            taken.append((left, rows.take(pa.array(left)), spots.take(pa.array(left)), kinds[left]))
+            begin.append(begin[-1] + len(heads))
 
     return run
 
@@ -408,12 +419,19 @@ def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return named.withColumn("row", F.xxhash64(F.col(f"`{key}`").cast("long"), "body"))
 
 
+def partitions(rows: DataFrame) -> int:
+    """Into how many parts anchors and contexts are dealt: a worker holds one part, so a part stands for at most ``PART_BYTES`` of text."""
+    total = rows.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+
+
 def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED, coded=None) -> DataFrame:
     """(row, ranges array<struct<lo, hi>>) of rows with repeats, from the output of _rows. coded: wraps what reads bodies."""
     long = rows if coded else rows.where(F.octet_length("body") >= length)
     coded = coded or (lambda f: f)
+    parts = partitions(rows)
     anchored = long.select("row", "body").mapInArrow(coded(_anchor_rows(length, seed)), "head binary, rows array<long>, spots array<long>")
-    dealt = anchored.repartition(F.xxhash64("head"))
+    dealt = anchored.repartition(parts, F.xxhash64("head"))
     twice = materialize(dealt.mapInArrow(_family_scan(seed), "row long, pos long, head long"), "anchors")
     # heads with more than one place in HOT_SHARE: less than HOT_SHARE of them, whatever the corpus
     bound = max(twice.count() // HOT_SHARE, 1)
@@ -423,7 +441,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED, code
     near = rows.join(places.hint("shuffle_hash"), "row").mapInArrow(
         coded(_contexts(length, seed, hot)), "key long, section int, context binary, left long, rows array<long>, spots array<long>"
     )
-    ranges = near.repartition("key").mapInArrow(_windows(length, seed), "row long, lo long, hi long")
+    ranges = near.repartition(parts, "key").mapInArrow(_windows(length, seed), "row long, lo long, hi long")
     return ranges.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
 
 
@@ -455,8 +473,11 @@ def _cut(texts: pa.Array, ranges: pa.Array, passages: pa.Array | None = None) ->
         yield own, b"".join(keep), spans
 
 
-def removal(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """Per row: key, n_bytes, n_removed, n_spans, kept_sha256, and the removed spans in bytes."""
+def removal(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED, words: int | None = None) -> DataFrame:
+    """Per row: key, n_bytes, n_removed, n_spans, kept_sha256, and the removed spans in bytes.
+
+    words: also ``passage_words``, the number of words in passages of so many words or more that start anywhere else (they are told,
+    not removed)."""
     rows = _rows(keyed_texts(df, key, text), "key", "text").select("key", "body", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -470,10 +491,18 @@ def removal(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
                 cut.append([{"lo": a, "hi": b} for a, b in found])
             longs = [pa.array(x, pa.int64()) for x in (n, gone, many)]
             spans = pa.array(cut, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *longs, pa.array(digest, pa.string()), spans], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
+            columns, names = [batch.column("key"), *longs, pa.array(digest, pa.string()), spans], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
+            if words:
+                columns.append(pa.array([sum(b - a for a, b in _merge(p)) for p in batch.column("passages").to_pylist()], pa.int64()))
+                names.append("passage_words")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     joined = rows.join(repeated_spans(rows, length, seed).hint("shuffle_hash"), "row", "left")
-    return joined.mapInArrow(run, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<lo:long,hi:long>>")
+    schema = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<lo:long,hi:long>>"
+    if not words:
+        return joined.mapInArrow(run, schema)
+    passages = repeated_words(rows, words).withColumn("passages", F.array_sort("passages"))
+    return joined.join(passages.hint("shuffle_hash"), "row", "left").mapInArrow(run, schema + ", passage_words long")
 
 
 def dedup_text(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED, words: int | None = None) -> DataFrame:

@@ -3,8 +3,8 @@
 Texts are range-partitioned and sorted by document id, encoded, and written as ORC: the ids as an integer list
 (ORC's run-length encoding), stripes that readers take in parallel, row indexes and a Bloom filter on
 ``doc_id``, so a lookup skips files, stripes and row groups by their metadata. Each file is a range of
-document ids, and the files' part numbers follow the ids; a document's offset in the whole sequence is the
-sum of the files before (from the ``n_tokens`` column alone) and of its predecessors in its file.
+document ids, and the files' part numbers follow the ids. Each row carries the number of ids before it in its file; with the
+sums of the files before, which come from the ``n_tokens`` column alone, that is its offset in the whole sequence.
 
 Encoding: the public tokenizers library encodes each distinct stretch between ASCII white space
 once, and its ids are kept per worker. That is exact for tokenizers that split at white space and drop
@@ -35,6 +35,7 @@ END_ID = 1
 STRIPE_BYTES = 64 << 20
 ROW_STRIDE = 10_000
 CACHE_WORDS = 700_000
+STEP = 2048  # rows at once: lists of 32-bit offsets stay far from their limit
 _encoders: dict[str, Encoder] = {}
 
 
@@ -129,34 +130,55 @@ def encode_batch(texts: pa.Array, path: str, end_id: int, memo: bool) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat))
 
 
+def counts(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, memo: bool = True) -> DataFrame:
+    """(key, n_tokens) of every row, the end id included: one scan, nothing is shuffled or written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, STEP):
+                part = batch.slice(lo, STEP)
+                ids = encode_batch(part.column(1), tokenizer, end_id, memo)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64))], ["key", "n_tokens"])
+
+    return keyed_texts(df, key, text).mapInArrow(run, "key long, n_tokens long")
+
+
 def write(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, memo: bool = True) -> None:
-    """Encodes every text of df into ORC files under path: doc_id, n_tokens, ids."""
+    """Encodes every text of df into ORC files under path: doc_id, n_tokens, skip (ids before the row in its file), ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
         for batch in batches:
-            step = 2048  # lists of 32-bit offsets stay far from their limit
-            for lo in range(0, batch.num_rows, step):
-                part = batch.slice(lo, step)
+            for lo in range(0, batch.num_rows, STEP):
+                part = batch.slice(lo, STEP)
                 ids = encode_batch(part.column(1), tokenizer, end_id, memo)
-                n = np.diff(ids.offsets.to_numpy()).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), ids], ["doc_id", "n_tokens", "ids"])
+                at = ids.offsets.to_numpy().astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(before + at[:-1]), ids], ["doc_id", "n_tokens", "skip", "ids"])
+                before += int(at[-1])
 
     ordered = keyed_texts(df, key, text).repartitionByRange("key").sortWithinPartitions("key", "text")
-    encoded = ordered.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    encoded = ordered.mapInArrow(run, "doc_id long, n_tokens long, skip long, ids array<int>")
     (
         encoded.write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", ROW_STRIDE)
         .option("orc.stripe.size", STRIPE_BYTES)
         .option("compression", "zstd")
+        .option("maxRecordsPerFile", 0)  # a task's rows stay in one file
         .orc(path)
     )
 
 
-def _located(spark: SparkSession, path: str) -> DataFrame:
-    """The files' rows with the part number that orders the files."""
+def tokens(spark: SparkSession, path: str) -> DataFrame:
+    """The files' rows with ``start``, the place of a document's first id in the whole sequence: a file's ``skip`` is offset by
+    the ids of the files before it, from one row a file."""
     name = F.col("_metadata.file_name")
-    return spark.read.orc(path).withColumn("part", F.struct(F.regexp_extract(name, r"part-(\d+)", 1).cast("int").alias("task"), F.regexp_extract(name, r"-c(\d+)", 1).alias("file")))
+    part = F.struct(F.regexp_extract(name, r"part-(\d+)", 1).cast("int").alias("task"), F.regexp_extract(name, r"-c(\d+)", 1).alias("file"))
+    rows = spark.read.orc(path).withColumn("part", part)
+    files = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    base = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = files.withColumn("base", base).select("part", "base")
+    return rows.join(before, "part").select("doc_id", (F.col("base") + F.col("skip")).alias("start"), "n_tokens", "ids")
 
 
 def read_digest(spark: SparkSession, path: str) -> DataFrame:
@@ -168,16 +190,9 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
             flat, at = ids.values.to_numpy().astype("<u4").tobytes(), (ids.offsets.to_numpy().astype(np.int64) * 4).tolist()
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(at, at[1:])]
             n = [(b - a) // 4 for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["part", "doc_id", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = _located(spark, path)
-    digests = rows.select("part", "doc_id", "ids").mapInArrow(run, "part struct<task:int,file:string>, doc_id long, n_tokens long, ids_crc32 long")
-    # one row a file
-    files = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = files.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
-    inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    placed = digests.withColumn("skip", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    return placed.join(before, "part").select("doc_id", (F.col("base") + F.col("skip")).alias("start"), "n_tokens", "ids_crc32")
+    return tokens(spark, path).select("doc_id", "start", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:

@@ -6,8 +6,8 @@ terms are swapped for other identity terms (and, as such mentions are rare, put
 without any), and the squared change of the score is penalised. So naming a group cannot by itself
 move a score, and neutral mentions give no false positives.
 
-The fit uses at most ``max_rows`` labelled rows (chosen by a hash of the key) and the ``max_features``
-hashed words that differ most between the labels; scoring reads every whole text, in one scan.
+The fit uses at most ``max_rows`` labelled rows (chosen by a hash of the key); every one of them is swapped. Of the hashed words
+of three sampled texts or more it takes the ``max_features`` that differ most between the labels, by over four standard deviations; scoring reads every whole text, in one scan.
 
 Defined cases: null text is empty; the score of a text without known words is the base rate; labels that
 are null are ignored and of several labels of a key the largest counts; with one label only every score is that
@@ -119,30 +119,21 @@ class Rows:
 Swap = tuple[list[int], list[int]]  # features that come and features that go
 
 
-def counterfactuals(rows: Rows, seed: int = 5, most: int = 4000) -> list[Swap]:
-    """For labelled sentences, what changes when identity terms are swapped: first sentences that have a
-    term, then others, which get one instead of another or instead of none."""
+def counterfactuals(rows: Rows, seed: int = 5) -> list[Swap]:
+    """For every labelled sentence, what changes when identity terms are swapped: one swap for each term it has; a
+    sentence without any gets one instead of another, or instead of none."""
     rng = np.random.default_rng(seed)
     terms = [features(w) for w in IDENTITY]
     whole = {t[0]: t for t in terms}
     names = np.array(sorted(whole), np.int32)
     out: list[Swap] = []
-
-    def add(rest: np.ndarray, old: list[int]) -> None:
-        new = terms[rng.integers(len(terms))]
-        fresh = [b for b in new if b not in old and not (rest == b).any()]
-        out.append((fresh, [b for b in old if b not in new]))
-
-    if not len(rows):
-        return out
-    where = np.searchsorted(rows.begin, np.flatnonzero(np.isin(rows.flat, names)), "right") - 1
-    for i in np.unique(where)[: most // 2]:
-        own = rows.row(i)
-        for t in own[np.isin(own, names)].tolist():
-            add(own[~np.isin(own, whole[t])], whole[t])
-    for i in rng.integers(0, len(rows), max(0, most - len(out))):
+    for i in range(len(rows)):
         own = rows.row(i)
-        add(own, [b for b in terms[rng.integers(len(terms))] if not (own == b).any()] if rng.random() < 0.5 else [])
+        had = own[np.isin(own, names)].tolist()
+        other = [b for b in terms[rng.integers(len(terms))] if not (own == b).any()] if rng.random() < 0.5 else []
+        for old in [whole[t] for t in had] or [other]:
+            new, rest = terms[rng.integers(len(terms))], own[~np.isin(own, old)]
+            out.append(([b for b in new if b not in old and not (rest == b).any()], [b for b in old if b not in new]))
     return out
 
 
