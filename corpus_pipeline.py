@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from findwell.llm import decontaminate, packing, quality_rules, resemblance, suffix_dedup
+from findwell.llm import decontaminate, quality_rules, resemblance, suffix_dedup
 from findwell.llm.common import materialize, table
+from findwell.llm.queries import packed as packed_by_tokens
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates (five-word shingles, similarity 0.8); one of repeated rows."""
+    """The document with the smallest id of each group of near-duplicates (five-word shingles, similarity 0.8), by SimHash trees
+    and MinHash, confirmed on the shingles; one of repeated rows."""
     own = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
     groups = resemblance.near_duplicates(own, "__row", "text")
     named = groups.distinct().join(own.select(F.col("__row").alias("row"), "doc_id").distinct(), "row")
@@ -43,8 +45,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's pieces and their bins."""
-    return packing.assign(docs).withColumnRenamed("key", "doc_id")
+    """Each document's pieces, in tokens, and their bins."""
+    return packed_by_tokens(docs)
 
 
 STAGES = [
