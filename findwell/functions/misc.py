@@ -18,6 +18,7 @@ DAY_WORDS = {"today": 0, "oggi": 0, "yesterday": -1, "ieri": -1, "tomorrow": 1,
 DAY_LABELS = {0: "Today", -1: "Yesterday", 1: "Tomorrow"}
 CAPTURE_HEADING = "## 🌱 Capture"
 DAILY_DIR = "Journal/Daily"
+FEW_RESULTS = 3
 
 
 def extension(path: Column) -> Column:
@@ -153,5 +154,26 @@ ICONS = {
 }
 
 
+def icon(ext: Column, kind: Column) -> Column:
+    """icon_for() for columns."""
+    known = F.create_map(*[F.lit(x) for pair in ICONS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.lower(ext)), F.try_element_at(known, kind), F.lit("file"))
+
+
+def suggestions(raw: str, found: int, now_ms: int, assistant: bool = False) -> list[dict[str, str]]:
+    """Rows that a result list gets besides its own: a daily note for a day keyword (it stands first), the offer of a new
+    note when fewer than three rows were found, and of a question where an assistant is present."""
+    query, rows = raw.strip(), []
+    if day := match_date_keyword(raw, now_ms):
+        label, iso = day
+        year, month, date = iso.split("-")
+        rows.append({"kind": "date", "title": label, "path": f"{DAILY_DIR}/{date}-{month}-{year}.md"})
+    if query and found < FEW_RESULTS:
+        rows.append({"kind": "create", "title": query, "path": f"{query}.md"})
+    if query and assistant:
+        rows.append({"kind": "ask", "title": query, "path": ""})
+    return rows
+
+
 def icon_for(ext: str, kind: str) -> str:
     return ICONS.get(ext.lower()) or ICONS.get(kind, "file")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from .filters import allowed, of_type
+from .filters import INDEXED_TYPES, allowed, of_type
 
 BUCKETS = ("Today", "Yesterday", "Past week", "Past 30 days", "Older")
 
@@ -58,6 +58,15 @@ def browse(docs: DataFrame, now_ms: int, kind: str | None = None, limit: int = K
     return group_by_recency(found, now_ms)
 
 
+def browse_any(docs: DataFrame, catalog: DataFrame, now_ms: int, kind: str | None = None, limit: int = K.BROWSE_LIMIT, **filters) -> DataFrame:
+    """As browse(); files of types that are not indexed come from the catalog (path, mtime_ms)."""
+    from ..functions.misc import extension
+
+    if kind is None or kind in INDEXED_TYPES:
+        return browse(docs, now_ms, kind, limit, **filters)
+    return group_by_recency(catalog_recent(catalog, limit, of_type(kind, extension(F.col("path")))), now_ms)
+
+
 def catalog_recent(catalog: DataFrame, limit: int = K.BROWSE_LIMIT, predicate: Column | None = None) -> DataFrame:
     """The latest files of any type."""
     found = catalog if predicate is None else catalog.where(predicate)

@@ -262,6 +262,7 @@ def removed(listing: DataFrame, index: Index) -> DataFrame:
     return index.live.join(listing.select("path").distinct(), "path", "left_anti").select("path")
 
 
-def status(index: Index, total: int | None = None) -> dict[str, int]:
+def status(index: Index, total: int | None = None, skipped: int = 0) -> dict[str, int]:
+    """skipped: files that could not be read (``sources.files.unread``)."""
     live, dead = index.docs.agg(F.count_if(~F.col("deleted")), F.count_if("deleted")).first()
-    return {"ready": 1, "indexed": live, "total": live if total is None else total, "tombstones": dead}
+    return {"ready": 1, "indexed": live, "total": live if total is None else total, "tombstones": dead, "skipped": skipped}

@@ -24,6 +24,7 @@ from ..operators import index as I
 from ..operators import rank as R
 from ..operators.fuse import reciprocal_rank_fusion
 from ..sources.files import html_documents
+from ..sources.stored import new_path
 from ..streaming.feed import last_event_wins, opens
 from .search import search_many
 
@@ -56,8 +57,18 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_built: dict[tuple[str, str], str] = {}
+
+
 def index(spark: SparkSession, sf_dir: str) -> I.Index:
-    return I.build_index(corpus(spark, sf_dir))
+    """The saved index of the whole corpus, built once for each application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    found = I.load(spark, _built[key]) if key in _built else None
+    if found is None:
+        _built[key] = new_path(spark, "index")
+        I.build_and_save(corpus(spark, sf_dir), _built[key])
+        found = I.load(spark, _built[key])
+    return found
 
 
 # --- SQL building blocks -------------------------------------------------------------------------
@@ -366,13 +377,6 @@ def fuzzy_tier(spark, sf_dir):
     return scores(spark, sf_dir, "thinthh ", fuzzy="always")
 
 
-@query()
-def search_defaults(spark, sf_dir):
-    """Interactive settings: top 20, prefix of the word being typed, similar terms where results are sparse."""
-    found = search_many(index(spark, sf_dir), {0: "with the thin", 1: "thinthhx", 2: '"of the" -with tag:en'}, NOW_MS)
-    return found.select("query_id", "rank", "doc_id", "path", F.round("score", 6).alias("score"))
-
-
 BATCH = [(i, terms) for i, terms in enumerate((["the"], ["with", "from"], ["la", "de"], ["der", "und"], ["que"], ["ththe", "anth"]))]
 
 
@@ -616,10 +620,13 @@ def debounce_bursts(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import catalog_parts  # noqa: F401  it adds its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -66,9 +66,12 @@ class ProviderRegistry:
     def register(self, provider: SearchProvider) -> None:
         self.providers.append(provider)
 
-    def sections(self, raw: str, limit: int = K.DEFAULT_LIMIT) -> dict[str, DataFrame]:
+    def sections(self, raw: str, limit: int = K.DEFAULT_LIMIT, deep: bool = True) -> dict[str, DataFrame]:
+        """deep: whether the slower providers are asked as well."""
         out = {}
         for p in self.providers:
+            if p.deep and not deep:
+                continue
             try:
                 out[p.name] = p.search(raw, limit)
             except Exception as e:  # one broken source must not take the others down
@@ -76,8 +79,14 @@ class ProviderRegistry:
                     self.on_error(p.name, e)
         return out
 
-    def fused(self, raw: str, limit: int = K.DEFAULT_LIMIT) -> DataFrame:
-        found = self.sections(raw, limit)
+    def waves(self, raw: str, limit: int = K.DEFAULT_LIMIT) -> Iterator[DataFrame]:
+        """The fused list of the instant providers, then, where there are deep ones, that of all."""
+        yield self.fused(raw, limit, deep=False)
+        if any(p.deep for p in self.providers):
+            yield self.fused(raw, limit)
+
+    def fused(self, raw: str, limit: int = K.DEFAULT_LIMIT, deep: bool = True) -> DataFrame:
+        found = self.sections(raw, limit, deep)
         columns = ("path", "basename", "doc_type", "ext", "mtime_ms", "source")
         lists, weights = [], []
         for p in self.providers:

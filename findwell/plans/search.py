@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.misc import extension
 from ..operators import fuzzy as Z
-from ..operators.filters import allowed
+from ..operators.filters import allowed, of_type
 from ..operators.index import Index, prefix_terms
 from ..operators.rank import GROUPS, PHRASES, RankOptions, idf, rank, with_df
 from .parser import ParsedQuery, parse_query
@@ -174,6 +175,14 @@ def search(index: Index, raw: str, now_ms: int, **options) -> DataFrame:
     return search_many(index, {0: raw}, now_ms, **options).drop("query_id").orderBy("rank")
 
 
+def search_typed(index: Index, raw: str, now_ms: int, kind: str | None = None, limit: int = K.DEFAULT_LIMIT, **options) -> DataFrame:
+    """As search(), for one type of file: ``OVERFETCH`` times the limit are fetched, those of the type stay, and the limit cuts them."""
+    found = search(index, raw, now_ms, limit=limit * K.OVERFETCH if kind else limit, **options)
+    if kind:
+        found = found.where(of_type(kind, extension(F.col("path")), F.col("doc_type")))
+    return found.orderBy("rank").limit(limit)
+
+
 def excerpt_weights(index: Index, terms: list[str]) -> dict[str, float]:
     """Inverse document frequency of each term; unknown terms count as never seen."""
     n = index.stats.first()["n"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,9 @@ from ..functions.markdown import extract_fields
 from ..functions.misc import basename, extension
 
 
+READ_TIMEOUT_S = 5.0
+
+
 def _named(df: DataFrame, root: str) -> DataFrame:
     path = F.regexp_replace(F.col("__file"), r"^file:/+", "/")
     short = F.when(F.locate(root.rstrip("/") + "/", path) == 1, F.substring(path, len(root.rstrip("/")) + 2, 100_000)).otherwise(path)
@@ -47,12 +51,21 @@ def html_documents(pages: DataFrame, raw: str = "content", numeric: bool = False
     return shown.withColumn("name", F.coalesce("title", "basename")).withColumn("doc_type", F.lit("html")).drop(raw)
 
 
+def unread(spark: SparkSession, root: str, scanned: DataFrame, pattern: str) -> DataFrame:
+    """(path, mtime_ms, size) of the files that a scan should have read and has not: their contents were corrupt or gone. The scan goes on without
+    them; this tells and counts them, from the listing alone."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    raw = reader.load(root).select(F.col("path").alias("__file"), F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size"))
+    return _named(raw, root).join(scanned.select("path"), "path", "left_anti")
+
+
 def wanted_extensions(pdf: bool = True, images: bool = False) -> tuple[str, ...]:
     return (("pdf",) if pdf else ()) + (K.IMAGE_EXTENSIONS if images else ())
 
 
-def attachment_scan(spark: SparkSession, root: str, extract: Callable[[bytes], str | None], pdf: bool = True, images: bool = False, max_mb: float = 20, failed: DataFrame | None = None) -> DataFrame:
-    """Attachments of the wanted types and size with the text that ``extract`` finds; failures have null text.
+def attachment_scan(spark: SparkSession, root: str, extract: Callable[[bytes], str | None], pdf: bool = True, images: bool = False, max_mb: float = 20, failed: DataFrame | None = None, timeout_s: float = READ_TIMEOUT_S) -> DataFrame:
+    """Attachments of the wanted types and size with the text that ``extract`` finds; failures have null text and say why in
+    ``error`` (``timeout`` for those that took longer than ``timeout_s``), so they can be counted.
 
     failed: (path) of attachments that are not tried again.
     """
@@ -63,17 +76,26 @@ def attachment_scan(spark: SparkSession, root: str, extract: Callable[[bytes], s
         files = files.join(failed.select("path"), "path", "left_anti")
 
     def run(parts):
+        pool = ThreadPoolExecutor(1)
         for part in parts:
-            texts = []
+            texts, errors = [], []
             for content in part["content"]:
+                text = error = None
                 try:
-                    texts.append(extract(bytes(content)))
-                except Exception:  # a broken file is counted, not fatal
-                    texts.append(None)
-            yield pd.DataFrame({"path": part["path"], "ext": part["ext"], "mtime_ms": part["mtime_ms"], "size": part["length"], "text": texts})
+                    text = pool.submit(extract, bytes(content)).result(timeout_s)
+                except TimeoutError:
+                    error = "timeout"
+                    pool.shutdown(wait=False)  # its thread is left behind
+                    pool = ThreadPoolExecutor(1)
+                except Exception as e:  # a broken file is counted, not fatal
+                    error = str(e) or type(e).__name__
+                texts.append(text)
+                errors.append(error)
+            yield pd.DataFrame({"path": part["path"], "ext": part["ext"], "mtime_ms": part["mtime_ms"], "size": part["length"], "text": texts, "error": errors})
+        pool.shutdown(wait=False)
 
     timed = files.select("path", "ext", F.unix_millis("modificationTime").alias("mtime_ms"), "length", "content")
-    return timed.mapInPandas(run, "path string, ext string, mtime_ms long, size long, text string")
+    return timed.mapInPandas(run, "path string, ext string, mtime_ms long, size long, text string, error string")
 
 
 def file_catalog(listing: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ reader unions the segments; compaction rewrites them as one.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -77,6 +79,51 @@ def fold_segments(spark: SparkSession, path: str, target: str, base: Index | Non
     return load(spark, target)
 
 
+def settled(events: DataFrame) -> DataFrame:
+    """The last event of each path of a backlog, renames taken apart: what is applied once the index is ready."""
+    return last_event_wins(expand_renames(events))
+
+
+def apply_to_catalog(catalog: DataFrame, events: DataFrame) -> DataFrame:
+    """The file catalog (path, mtime_ms, and others) after change events: touched paths leave, those that exist now come back."""
+    final = settled(events)
+    stays = catalog.join(final.select("path"), "path", "left_anti")
+    return stays.unionByName(final.where("kind <> 'delete'").select(*[c for c in catalog.columns if c in final.columns]), allowMissingColumns=True)
+
+
+@dataclass
+class SavePolicy:
+    """When a changed index is written: after ``quiet_s`` without a change, and ``cap_s`` after the first unsaved one at the
+    latest. One write at a time; changes during a write start a new wait."""
+
+    quiet_s: float = 60.0
+    cap_s: float = 300.0
+    first: float | None = None
+    last: float | None = None
+    saving: bool = False
+
+    def changed(self, now: float) -> None:
+        self.first = now if self.first is None else self.first
+        self.last = now
+
+    @property
+    def due(self) -> float | None:
+        """When to save; None if nothing is unsaved or a save is under way."""
+        if self.first is None or self.saving:
+            return None
+        return min(self.last + self.quiet_s, self.first + self.cap_s)
+
+    def begin(self, now: float) -> bool:
+        """Whether a save begins now."""
+        if self.due is None or now < self.due:
+            return False
+        self.saving, self.first, self.last = True, None, None
+        return True
+
+    def done(self) -> None:
+        self.saving = False
+
+
 def opens(events: DataFrame, key: str = "path", time_ms: str = "ts_ms", prefix: str = "") -> DataFrame:
     """Usage statistics: (key, count, last_opened_ms). On a stream this is a stateful aggregate in update mode."""
     named = F.concat(F.lit(prefix), F.col(key)) if prefix else F.col(key)

@@ -119,6 +119,19 @@ def test_file_scans(spark, tmp_path):
         return content.decode().lower()
 
     rows = {r["path"]: r["text"] for r in S.attachment_scan(spark, root, extract).collect()}
+    errors = {r["path"]: r["error"] for r in S.attachment_scan(spark, root, extract).collect()}
+    assert errors == {"a.pdf": None, "b.pdf": "ValueError"}
+
+    def slow(content):
+        import time
+
+        time.sleep(0.8 if content == b"bad" else 0)
+        return "x"
+
+    assert {r["path"]: (r["text"], r["error"]) for r in S.attachment_scan(spark, root, slow, timeout_s=0.3).collect()} == {"a.pdf": ("x", None), "b.pdf": (None, "timeout")}
+    notes = S.markdown_scan(spark, root)
+    assert S.unread(spark, root, notes, "*.md").count() == 0
+    assert [r["path"] for r in S.unread(spark, root, notes.where("false"), "*.md").collect()] == ["sub/My note.md"]
     assert rows == {"a.pdf": "pdftext", "b.pdf": None} and S.wanted_extensions(False, True) == K.IMAGE_EXTENSIONS
     files = S.file_catalog(S.listing(spark, root))
     assert {r["ext"] for r in files.collect()} == {"md", "html", "pdf"}
@@ -148,6 +161,55 @@ def test_feed(spark, tmp_path):
     assert {r["term"]: r["df"] for r in folded.dictionary.collect()} == {"dog": 1} | {r["term"]: 1 for r in folded.dictionary.collect() if r["term"] != "dog"}
 
 
+def test_save_policy():
+    p = U.SavePolicy()
+    assert p.due is None and not p.begin(0)
+    p.changed(10)
+    assert p.due == 70 and not p.begin(69) and p.begin(70) and p.due is None
+    p.changed(71)  # during the save
+    assert p.due is None and not p.begin(500)
+    p.done()
+    assert p.due == 131
+    for now in range(80, 400, 50):
+        p.changed(now)
+    assert p.due == 371  # five minutes after the first unsaved change
+
+
+def test_suggestions():
+    day = 1_784_196_000_000
+    assert [(r["kind"], r["path"]) for r in M.suggestions(" Ieri ", 0, day, True)] == [("date", "Journal/Daily/15-07-2026.md"), ("create", "Ieri.md"), ("ask", "")]
+    assert [r["kind"] for r in M.suggestions("plan", 2, day)] == ["create"] and M.suggestions("plan", 3, day) == [] and M.suggestions(" ", 0, day, True) == []
+
+
+def test_since_is_local(spark):
+    from findwell.operators.filters import since
+
+    noon = 1_706_702_400_000
+    assert since("today", noon, "UTC") == since("today", noon) == noon - 12 * 3600_000
+    assert since("today", noon, "Asia/Tokyo") == noon - 21 * 3600_000 and since("week", noon) == noon - 7 * K.DAY_MS
+
+
+def test_excerpts_agree_with_trying_every_anchor():
+    """Best window by trying all of them, on random texts."""
+    import random
+
+    rng = random.Random(9)
+    for _ in range(300):
+        source = " ".join(rng.choice(["aa", "bbb", "cc", "zzzzzzz", "y", "x\ty"]) for _ in range(rng.randrange(1, 60)))
+        most, weights = rng.randrange(8, 60), {"aa": rng.choice([1.0, 2.5]), "bbb": 0.7, "cc": 1.0}
+        hits = [t for t in E.tokenize(source) if t.text in weights]
+        text, ranges = E.make_excerpt(source, list(weights), most, weights)
+        assert all(text[a:b] in weights for a, b in ranges) and "\t" not in text
+        if not hits:
+            assert text == source[:most].replace("\t", " ") + ("…" if len(source) > most else "") and not ranges
+            continue
+        best, lo, hi = max(((round(sum(weights[w] for w in {h.text for h in hits[i:] if h.end - a.start <= most}), 9), -i), a.start, max(h.end for h in hits[i:] if h.end - a.start <= most)) for i, a in enumerate(hits))
+        plain = text.removeprefix("…").removesuffix("…")
+        begin = source.replace("\t", " ").find(plain, max(0, lo - most))
+        assert round(sum(weights[w] for w in {text[a:b] for a, b in ranges}), 9) >= best[0] and begin <= lo and begin + len(plain) >= hi and len(plain) <= most
+        assert (begin == 0 or source[begin - 1].isspace() or begin == lo) and (begin + len(plain) == len(source) or source[begin + len(plain)].isspace() or begin + len(plain) == hi)
+
+
 def test_opens_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([("a", 5), ("a", 9), ("b", 1)], "path string, ts_ms long").write.parquet(source)
@@ -170,6 +232,10 @@ def test_providers_and_endpoint(spark):
     registry = providers.ProviderRegistry(providers.KeywordProvider(index, NOW), Broken(), providers.FileProvider(files), on_error=lambda n, e: seen.append(n))
     rows = registry.fused("mango").collect()
     assert [(r["path"], r["source"]) for r in rows] == [("Atlas/mango tree.md", "keyword"), ("mango.canvas", "file")] and seen == ["broken"]
+    slow = providers.FileProvider(files)
+    slow.name, slow.deep = "deep", True
+    waves = [[r["source"] for r in w.collect()] for w in providers.ProviderRegistry(providers.KeywordProvider(index, NOW), slow).waves("mango")]
+    assert waves == [["keyword"], ["keyword", "file"]] and len(list(registry.waves("mango"))) == 1
     import hashlib
 
     end = providers.SearchEndpoint(index, hashlib.sha256(b"t").hexdigest(), lambda: NOW)
@@ -181,14 +247,14 @@ def test_providers_and_endpoint(spark):
     assert [providers.http_limit(x) for x in (None, "7", "1000", "-1", "x")] == [50, 7, 100, 50, 50]
 
 
-QUICK = ["fold_words", "tokenize_cases", "html_titles", "html_texts", "recency_boost", "coverage_boost", "frecency_state", "rrf_weighted", "subsequence_match", "catalog_search", "recent_docs", "recency_buckets", "file_types", "type_filter", "date_keyword", "capture_lines", "destructive_flag", "last_event", "postings", "phrase_match", "prefix_tier"]
+QUICK = ["exact_fold_postings", "exact_fold_search", "note_fields", "note_previews", "excerpt_windows", "settled_backlog", "fused_providers", "action_ranking", "date_presets", "build_order", "search_sparse", "fold_words", "tokenize_cases", "html_titles", "html_texts", "recency_boost", "coverage_boost", "frecency_state", "rrf_weighted", "subsequence_match", "catalog_search", "recent_docs", "recency_buckets", "file_types", "type_filter", "date_keyword", "capture_lines", "destructive_flag", "last_event", "postings", "phrase_match", "prefix_tier"]
 
 
 @pytest.mark.parametrize("name", QUICK)
 def test_queries_agree_with_sql(spark, name):
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages", "events", "part", "customer", "orders"):
+    for t in ("documents", "pages", "events", "part", "customer", "supplier", "orders"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     df = catalog.queries()[name](spark, folder)
     found = con.execute(catalog.oracle_sql()[name])
