@@ -26,9 +26,10 @@ hash of key and text, so null keys and keys that several rows share are no speci
 is a copy like any other. Text out of ``dedup_text`` stays valid UTF-8: bytes of a character that was
 cut through are dropped with it.
 
-Passages by words (``words`` of ``dedup_text``): each word, a run of anything but ASCII white space, becomes a code of
-``CODE`` characters, and the same search runs over the codes with ``words * CODE`` as its length. So a passage counts by its
-words, however short they are, and white space between them does not matter.
+Passages by words (``words``): a passage counts by its words, runs of anything but ASCII white space, however short they are, and the white space
+between them does not matter. Steps 1 and 2 are the same with words in the place of bytes: of each window of ``words`` words
+the least hash of its strings of ``SEED_WORDS`` words is the anchor, and the heads of suffixes are these hashes. In step 3 no contexts travel but
+the 64-bit hashes of the windows, each once, with its anchor; those of frequent anchors are dealt out by their own hash.
 """
 
 from __future__ import annotations
@@ -53,7 +54,8 @@ PART_BYTES = 256 << 20
 HOT_SHARE = 1000
 HOT_PARTS = 8
 WORDS = 51
-CODE = 6
+SEED_WORDS = 10
+HEAD = 10  # 64 bits, seven a byte
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
@@ -381,35 +383,146 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         return mix64((total[ends] - total[begins]) * inverse[begins]), np.searchsorted(begins, offsets)
 
 
-def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """uint8 [word, CODE], six bits of the word's hash a character, and the n+1 offsets of the documents' words."""
+def _rolled(values: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each ``size`` successive 64-bit values."""
+    n = len(values) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    power, inverse = _powers(len(values))
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * power, out=total[1:])
+        return mix64((total[size:] - total[:-size]) * inverse[:n])
+
+
+def word_windows(data: np.ndarray, offsets: np.ndarray, words: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows of ``words`` words within one document each: start, hash and anchor, then the hashes of the
+    ``seed``-word strings and the n+1 offsets of the documents' words. The anchor is the first place of the least hash of
+    the window's seed strings, so equal windows have equal anchors, and successive windows share them."""
     h, at = word_hashes(data, offsets)
-    parts = (h[:, None] >> (np.arange(CODE, dtype=np.uint64) * np.uint64(6))[None, :]) & np.uint64(63)
-    return parts.astype(np.uint8) + np.uint8(48), at
+    size = np.diff(at)
+    start = np.flatnonzero(np.arange(len(h)) + words <= np.repeat(at[1:], size))
+    if not len(start):
+        none = np.zeros(0, np.int64)
+        return none, none.astype(np.uint64), none, none.astype(np.uint64), at
+    seeds = _rolled(h, seed)
+    low = np.uint64((1 << 32) - 1)
+    keys = (seeds & ~low) | np.arange(len(seeds), dtype=np.uint64)
+    least = sliding(keys, words - seed + 1, True)
+    return start, _rolled(h, words)[start], (least[start] & low).astype(np.int64), seeds, at
+
+
+def _head(h: np.ndarray) -> np.ndarray:
+    """Hashes as byte strings of ``HEAD`` characters, none of them zero (numpy's strings lose zeros at their end)."""
+    parts = (h[:, None] >> (np.arange(HEAD, dtype=np.uint64) * np.uint64(7))[None, :]) & np.uint64(127)
+    return np.ascontiguousarray(parts.astype(np.uint8) + np.uint8(1)).view(f"S{HEAD}")[:, 0]
+
+
+def _word_anchors(words: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = as_bytes(batch.column("body"))
+            for lo, hi in chunks(offsets, BLOCK):
+                _, _, anchor, seeds, at = word_windows(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words, seed)
+                spots = np.unique(anchor)
+                if not len(spots):
+                    continue
+                doc = np.searchsorted(at, spots, "right") - 1
+                kinds, kind, many = np.unique(seeds[spots], return_inverse=True, return_counts=True)
+                by = np.argsort(kind, kind="stable")
+                ends = pa.array(np.concatenate(([0], np.cumsum(many))), pa.int32())
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(HEAD), len(kinds), [None, pa.py_buffer(_head(kinds))]).cast(pa.binary())
+                rows = batch.column("row").take(pa.array(lo + doc[by]))
+                yield pa.RecordBatch.from_arrays([packed, pa.ListArray.from_arrays(ends, rows), pa.ListArray.from_arrays(ends, pa.array((spots - at[doc])[by]))], ["head", "rows", "spots"])
+
+    return run
 
 
-def _coded(then):
-    """``then`` on the codes of the bodies instead of the bodies, in the same worker."""
+def _word_places(words: int, seed: int, hot):
+    """The hashes of the windows of each repeated anchor, with the places where just these stand: equal ones of a block are one row. They
+    are dealt out by the anchor; those of frequent anchors window by window, by the window's own hash."""
 
-    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            more = [c for c in batch.schema.names if c == "spots"]
             data, offsets = as_bytes(batch.column("body"))
+            told, rows = batch.column("spots").to_pylist(), batch.column("row").to_pylist()
             for lo, hi in chunks(offsets, BLOCK):
-                found, at = word_codes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                bodies = pa.StringArray.from_buffers(hi - lo, pa.py_buffer((at * CODE).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(found)))
-                own = [batch.column(c).slice(lo, hi - lo) for c in more]
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, hi - lo), bodies, *own], ["row", "body", *more])
+                start, h, anchor, seeds, at = word_windows(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words, seed)
+                spots = np.array([at[d] + s for d in range(hi - lo) for s in told[lo + d]], np.int64)
+                own = np.flatnonzero(np.isin(anchor, spots))
+                if not len(own):
+                    continue
+                # windows of one anchor follow each other; a frequent one's stand alone
+                often = np.array([named(x) in hot.value for x in _head(seeds[anchor[own]])]) if hot.value else np.zeros(len(own), bool)
+                cut = np.ones(len(own), bool)
+                cut[1:] = (anchor[own][1:] != anchor[own][:-1]) | (start[own][1:] != start[own][:-1] + 1) | often[1:]
+                first = np.flatnonzero(cut)
+                last = np.append(first[1:], len(own))
+                doc = np.searchsorted(at, start[own][first], "right") - 1
+                keys = np.where(often[first], h[own][first], seeds[anchor[own][first]]).view(np.int64).tolist()
+                raw, place = h[own].tobytes(), (start[own][first] - at[doc]).tolist()
+                found: dict[tuple[int, bytes], tuple[list[int], list[int]]] = {}
+                for k, a, b, d, p in zip(keys, first.tolist(), last.tolist(), doc.tolist(), place):
+                    of = found.setdefault((k, raw[8 * a : 8 * b]), ([], []))
+                    of[0].append(rows[lo + d])
+                    of[1].append(p)
+                flat = pa.array(np.frombuffer(b"".join(x for _, x in found), np.int64))
+                sizes = pa.array(np.concatenate(([0], np.cumsum([len(x) // 8 for _, x in found]))), pa.int32())
+                ends = pa.array(np.concatenate(([0], np.cumsum([len(r) for r, _ in found.values()]))), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(list(itertools.chain.from_iterable(x)), pa.int64())) for x in zip(*found.values())]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.ListArray.from_arrays(sizes, flat), *lists], ["key", "hashes", "rows", "starts"])
+
+    return run
 
-    return lambda batches: then(codes(batches))
+
+def _word_ranges(words: int):
+    """Whole partitions of those rows: the ranges of the windows that have two places or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = [b for b in batches if b.num_rows]
+        if not whole:
+            return
+        table = pa.Table.from_batches(whole).combine_chunks()
+        hashes, rows, starts = (table.column(c).combine_chunks() for c in ("hashes", "rows", "starts"))
+        size, places = pa.compute.list_value_length(hashes).to_numpy().astype(np.int64), pa.compute.list_value_length(rows).to_numpy().astype(np.int64)
+        flat = hashes.flatten().to_numpy()
+        _, kind = np.unique(flat, return_inverse=True)
+        hit = np.bincount(kind, weights=np.repeat(places, size))[kind] > 1
+        owner = np.repeat(np.arange(len(size)), size)
+        offset = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        # runs of repeated windows of one row
+        at = np.flatnonzero(hit)
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (owner[at][1:] != owner[at][:-1])
+        first, last = at[new], at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)] if len(at) else at
+        if not len(first):
+            return
+        # each run at each of the row's places
+        many = places[owner[first]]
+        begin = np.concatenate(([0], np.cumsum(places)))[owner[first]]
+        pick = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
+        base = starts.flatten().to_numpy()[pick]
+        columns = [rows.flatten().take(pa.array(pick)), pa.array(base + np.repeat(offset[first], many)), pa.array(base + np.repeat(offset[last], many) + words)]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "lo", "hi"])
+
+    return run
 
 
 def repeated_words(rows: DataFrame, words: int) -> DataFrame:
     """(row, passages array<struct<lo, hi>>), in words: the passages of ``words`` words or more that start anywhere else."""
-    spans = repeated_spans(rows, words * CODE, min(10, words) * CODE, _coded)
-    # inwards to whole words
-    whole = F.transform("ranges", lambda r: F.struct(F.ceil(r["lo"] / CODE).cast("long").alias("lo"), F.floor(r["hi"] / CODE).cast("long").alias("hi")))
-    return spans.select("row", whole.alias("passages"))
+    seed, parts = min(SEED_WORDS, words), partitions(rows)
+    anchored = rows.select("row", "body").mapInArrow(_word_anchors(words, seed), "head binary, rows array<long>, spots array<long>")
+    twice = materialize(anchored.repartition(parts, F.xxhash64("head")).mapInArrow(_family_scan(HEAD), "row long, pos long, head long"), "anchors")
+    places = twice.groupBy("row").agg(F.collect_set("pos").alias("spots"))
+    near = rows.join(places.hint("shuffle_hash"), "row").mapInArrow(_word_places(words, seed, frequent(twice)), "key long, hashes array<long>, rows array<long>, starts array<long>")
+    ranges = near.repartition(parts, "key").mapInArrow(_word_ranges(words), "row long, lo long, hi long")
+    return ranges.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("passages"))
+
+
+def frequent(twice: DataFrame):
+    """Heads with more than one place in ``HOT_SHARE``: less than ``HOT_SHARE`` of them, whatever the corpus."""
+    bound = max(twice.count() // HOT_SHARE, 1)
+    return twice.sparkSession.sparkContext.broadcast({r[0] for r in twice.groupBy("head").count().where(F.col("count") > bound).collect()})
 
 
 def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -425,21 +538,16 @@ def partitions(rows: DataFrame) -> int:
     return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED, coded=None) -> DataFrame:
-    """(row, ranges array<struct<lo, hi>>) of rows with repeats, from the output of _rows. coded: wraps what reads bodies."""
-    long = rows if coded else rows.where(F.octet_length("body") >= length)
-    coded = coded or (lambda f: f)
-    parts = partitions(rows)
-    anchored = long.select("row", "body").mapInArrow(coded(_anchor_rows(length, seed)), "head binary, rows array<long>, spots array<long>")
+def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """(row, ranges array<struct<lo, hi>>) of rows with repeats, from the output of _rows."""
+    long, parts = rows.where(F.octet_length("body") >= length), partitions(rows)
+    anchored = long.select("row", "body").mapInArrow(_anchor_rows(length, seed), "head binary, rows array<long>, spots array<long>")
     dealt = anchored.repartition(parts, F.xxhash64("head"))
     twice = materialize(dealt.mapInArrow(_family_scan(seed), "row long, pos long, head long"), "anchors")
-    # heads with more than one place in HOT_SHARE: less than HOT_SHARE of them, whatever the corpus
-    bound = max(twice.count() // HOT_SHARE, 1)
-    hot = rows.sparkSession.sparkContext.broadcast({r[0] for r in twice.groupBy("head").count().where(F.col("count") > bound).collect()})
     places = twice.groupBy("row").agg(F.collect_set("pos").alias("spots"))
     # the same exchange of the texts serves this join and the one with the result
     near = rows.join(places.hint("shuffle_hash"), "row").mapInArrow(
-        coded(_contexts(length, seed, hot)), "key long, section int, context binary, left long, rows array<long>, spots array<long>"
+        _contexts(length, seed, frequent(twice)), "key long, section int, context binary, left long, rows array<long>, spots array<long>"
     )
     ranges = near.repartition(parts, "key").mapInArrow(_windows(length, seed), "row long, lo long, hi long")
     return ranges.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
