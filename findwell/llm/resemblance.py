@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, materialize, mix64
+from .common import as_bytes, chunks, materialize, mix64, release
 from . import simhash
 from .simhash import Union, components
 from .suffix_dedup import BLOCK, word_hashes
@@ -141,11 +141,12 @@ def near_duplicates(df: DataFrame, row: str, text: str) -> DataFrame:
     """(row, component) for every row of df; rows: any long, equal ones have equal texts."""
     texts = df.select(F.col(row).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     prints = materialize(texts.mapInArrow(_prints, "row long, id long, bands array<long>"), "resemblance")
-    nodes = prints.groupBy("id").agg(F.min_by("bands", "row").alias("bands"), F.min("row").alias("row"))
+    nodes = materialize(prints.groupBy("id").agg(F.min_by("bands", "row").alias("bands"), F.min("row").alias("row")), "nodes")
     keyed = nodes.select("id", "row", F.explode("bands").alias("band"))
-    some = keyed.groupBy("band").agg(F.sort_array(F.collect_list(F.struct("id", "row"))).alias("members")).where("size(members) > 1")
-    bands = materialize(some.groupBy("members").agg(F.min("band").alias("band")), "bands")
-    flat = bands.select("band", F.size("members").alias("n"), F.col("members")[0]["id"].alias("b"), F.explode("members").alias("m")).select("band", "n", "b", F.col("m")["id"].alias("id"), F.col("m")["row"].alias("row"))
+    # bands of the same nodes (by their number, least and exclusive or) are one; no band's nodes are gathered for that
+    groups = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("b"), F.bit_xor("id").alias("mark")).where("n > 1")
+    bands = materialize(groups.groupBy("n", "b", "mark").agg(F.min("band").alias("band")), "bands")
+    flat = materialize(keyed.join(bands.drop("mark"), "band"), "members")
     close = materialize(fingerprint_pairs(texts, prints), "close")
     ends = [close.select(F.col(x).alias("id"), F.col(f"{x}_row").alias("row")) for x in ("a", "b")]
     needed = flat.select("id", "row").unionByName(ends[0]).unionByName(ends[1]).groupBy("id").agg(F.min("row").alias("row"))
@@ -155,10 +156,12 @@ def near_duplicates(df: DataFrame, row: str, text: str) -> DataFrame:
     other = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(other, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
     near = materialize(both.where(LEAST[1] * F.col("n") >= LEAST[0] * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b"), "near")
-    roots = materialize(components(near), "roots")
+    met = components(near)
     # bands whose nodes have not all met
-    labelled = flat.where("n > 2").select("band", "id").join(roots, flat["id"] == roots["a"], "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    labelled = flat.where("n > 2").select("band", "id").join(met, flat["id"] == met["a"], "left").select("band", "id", F.coalesce("root", "id").alias("root"))
     apart = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
     rest = labelled.join(apart, "band").join(sets, "id").groupBy("band").applyInArrow(_band, "a long, b long")
-    roots = components(near.unionByName(rest))
+    roots = components(near.unionByName(rest))  # it has read all that it needs
+    for done in (nodes, bands, flat, close, sets, near):
+        release(done)
     return prints.join(roots, prints["id"] == roots["a"], "left").select("row", F.coalesce("root", "id").alias("component"))

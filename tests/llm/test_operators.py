@@ -638,3 +638,69 @@ def test_queries_have_their_columns(spark):
         assert df.columns == columns and df.count() > 0
     prints = Q.op3_simhash(spark, SF).select(F.length("fingerprint").alias("n")).distinct().collect()
     assert [r["n"] for r in prints] == [16]
+
+
+def test_importance_by_brute_force(spark, corpus):
+    """Hash, counts, log weights and noise computed anew, number by number."""
+    df, rows = corpus
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    def grams(text):
+        w = [mix(sum(mix(b + 1) * mix(i + 7) for i, b in enumerate(x.encode().lower())) & mask) for x in WORD.findall(text)]
+        return [x % IM.BUCKETS for x in w] + [mix((a * 0x9E3779B97F4A7C15 + b) & mask) % IM.BUCKETS for a, b in zip(w, w[1:])]
+
+    good = {100, 101, 102, 5, 9}
+    every = [(k, grams(t)) for k, t in rows]
+    raw, target = Counter(b for _, g in every for b in g), Counter(b for k, g in every if k in good for b in g)
+    share = lambda c, b: np.log((c[b] + 1) / (sum(c.values()) + IM.BUCKETS))
+    want = sorted((str(k), round(float(sum(share(target, b) - share(raw, b) for b in g)), 5)) for k, g in every)
+    labels = spark.createDataFrame([(k, 1) for k in good] + [(8, 0), (None, 1)], "doc_id long, quality int")
+    scored = IM.weights(df, labels.where("quality = 1").select(F.col("doc_id").alias("id"))).collect()
+    got = sorted((str(r["key"]), round(r["log_weight"], 5)) for r in scored)
+    assert [k for k, _ in got] == [k for k, _ in want] and np.allclose([w for _, w in got], [w for _, w in want], atol=1e-4)
+    drawn = {r["key"]: r["h"] for r in df.select(F.col("doc_id").alias("key"), F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 52)).alias("h")).collect()}
+    for r in scored:
+        assert abs(r["noisy"] - (r["log_weight"] - np.log(-np.log((drawn[r["key"]] + 0.5) / 2**52)))) < 1e-9
+    picked = [(r["key"], r["noisy"]) for r in IM.resample(df, labels, 0.5).collect()]
+    order = sorted(((r["key"], r["noisy"]) for r in scored), key=lambda x: (-x[1], x[0] is not None, x[0] or 0))[: len(picked)]
+    assert len(picked) == round(0.5 * len(rows)) and sorted(map(str, picked)) == sorted(map(str, order))
+
+
+def test_very_long_and_repeated_rows(spark):
+    """Sizes far over the usual, and the same row many times, in the operators that read each row by itself."""
+    rng = random.Random(19)
+    long = words(rng, 120_000)
+    page = "<html><body><nav>menu</nav><article><h1>Title</h1>" + "".join(f"<p>{words(rng, 40)}, and more, of it.</p>" for _ in range(3000)) + "</article></body></html>"
+    pages = spark.createDataFrame([(1, "u", page, "x")] * 3 + [(2, "v", "<p>short, plain text.</p>", "x")] * 4, "page_id long, url string, html string, text string")
+    got = Counter((r["key"], r["n_chars"], r["text"].count("\n")) for r in HX.extract(pages).collect())
+    assert got == Counter({(1, len(HX.main_text(page)), 3000): 3, (2, len("short, plain text."), 0): 4})
+    docs = spark.createDataFrame([(i, f"vilespawn {words(rng, 8)}" if i % 3 == 0 else words(rng, 9)) for i in range(300)] + [(1000, long + " vilespawn")] * 2 + [(1001, long)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    scores = defaultdict(list)
+    for r in TX.score(docs, TX.fit(docs, labels)).where("key >= 1000").collect():
+        scores[r["key"]].append(r["score"])
+    assert all(len(v) == 2 and v[0] == v[1] for v in scores.values()) and scores[1000][0] > scores[1001][0]
+    talk = [(1, i, "user" if i % 2 == 0 else "assistant", f"t{i} </s>") for i in range(4000)] + [(2, 0, "assistant", long)]
+    digest = {r["tree"]: (r["n_turns"], r["loss_chars"]) for r in CH.format_digest(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).collect()}
+    assert digest == {1: (4000, sum(len(t[3]) for t in talk[:4000:1] if t[2] == "assistant")), 2: (1, len(long))}
+    lengths = spark.createDataFrame([(None, 40)] * 5 + [(7, 40)] * 3 + [(8, None), (8, 0), (9, 1000)], "key long, n long")
+    placed = PK.assign(lengths, "key", F.col("n"), capacities=(64, 256)).collect()
+    check_bins(placed, (64, 256))
+    assert Counter((r["key"], r["length"]) for r in placed) == Counter({(None, 40): 5, (7, 40): 3, (8, 0): 2, (9, 256): 3, (9, 1000 - 768): 1})
+
+
+def test_swaps_of_every_sentence():
+    """Each sampled sentence is swapped, whatever its place, and a swap never moves a feature that stays."""
+    rng = random.Random(6)
+    texts = [f"w{i} {rng.choice(['old', 'muslim', 'women', ''])} x" for i in range(3000)]
+    rows = TX.Rows.of(texts)
+    swaps = TX.counterfactuals(rows)
+    named_rows = sum(any(w in TX.IDENTITY for w in t.split()) for t in texts)
+    assert len(swaps) == len(texts) and named_rows > 1500
+    for (fresh, gone), i in zip(swaps, range(len(rows))):
+        assert not set(fresh) & set(gone) and not set(fresh) & (set(rows.row(i).tolist()) - set(gone))
