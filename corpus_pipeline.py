@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from findwell.llm import decontaminate, quality_rules, resemblance, suffix_dedup
-from findwell.llm.common import materialize, table
+from findwell.llm.common import materialize, release, table
 from findwell.llm.queries import packed as packed_by_tokens
 
 
@@ -61,7 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if written is not None:
+            release(written)
+        written = docs
     return docs
