@@ -132,8 +132,8 @@ def main() -> None:
         timed("file_finder", lambda: search_catalog(files, "theon").collect())
 
         def fused():
-            words = with_rank(search(index, "with th", catalog.NOW_MS, fuzzy="off"), F.desc("score"), "path").select("path", "rank")
-            names = with_rank(search_catalog(files, "with th"), F.desc("score"), "path").select("path", "rank")
+            words = with_rank(search(index, "with th", catalog.NOW_MS, fuzzy="off"), F.desc("score"), "path", most=20).select("path", "rank")
+            names = with_rank(search_catalog(files, "with th"), F.desc("score"), "path", most=20).select("path", "rank")
             return ordered(reciprocal_rank_fusion([words, names], weights=[1.0, 0.6]), 20).collect()
 
         timed("fusion", fused)

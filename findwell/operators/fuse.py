@@ -30,10 +30,9 @@ def ordered(fused: DataFrame, limit: int | None = None) -> DataFrame:
     return (out if limit is None else out.limit(limit)).drop("__first")
 
 
-def with_rank(df: DataFrame, *order, by: str | None = None) -> DataFrame:
-    """rank from 0 in the given order; over a limited list, or within ``by``."""
-    window = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
-    return df.withColumn("rank", F.row_number().over(window.orderBy(*order)) - 1)
+def with_rank(df: DataFrame, *order, most: int) -> DataFrame:
+    """The first ``most`` rows with their rank from 0: a list of results. Whole tables are ranked by ``index.assign_ids``."""
+    return df.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
 
 
 def apply_frecency(results: DataFrame, opened: DataFrame, now_ms: int, key: str = "path") -> DataFrame:

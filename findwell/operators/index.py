@@ -65,6 +65,7 @@ def assign_ids(docs: DataFrame, *order: Column, name: str = "doc_id", base: int
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     counts = placed.groupBy(part.alias("__part")).count()
     skip = counts.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__skip"))
+    # one row a partition: their number is the session's, whatever the rows
     numbered = placed.withColumn("__part", part).join(F.broadcast(skip), "__part").withColumn(name, F.col("__skip") + at + base)
     return numbered.drop("__part", "__place", "__skip")
 

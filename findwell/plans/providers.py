@@ -91,7 +91,7 @@ class ProviderRegistry:
         lists, weights = [], []
         for p in self.providers:
             if p.name in found:
-                rows = with_rank(found[p.name], F.desc("score"), "path")
+                rows = with_rank(found[p.name], F.desc("score"), "path", most=limit)
                 lists.append(rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns], "rank"))
                 weights.append(p.weight)
         return ordered(reciprocal_rank_fusion(lists, weights=weights), limit)

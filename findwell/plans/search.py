@@ -170,9 +170,10 @@ def search_many(
     return described.join(F.broadcast(found) if options.few else found, "doc_id").select(*empty.columns)
 
 
-def search(index: Index, raw: str, now_ms: int, **options) -> DataFrame:
+def search(index: Index, raw: str, now_ms: int, limit: int = K.DEFAULT_LIMIT, **options) -> DataFrame:
     """The results of one query, best first."""
-    return search_many(index, {0: raw}, now_ms, **options).drop("query_id").orderBy("rank")
+    found = search_many(index, {0: raw}, now_ms, limit, **options).drop("query_id")
+    return found.orderBy("rank").limit(limit)  # no more rows than that: the limit spares an exchange
 
 
 def search_typed(index: Index, raw: str, now_ms: int, kind: str | None = None, limit: int = K.DEFAULT_LIMIT, **options) -> DataFrame:

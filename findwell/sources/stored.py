@@ -36,7 +36,7 @@ def new_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes to the shared folder and reads back."""
     spark = df.sparkSession
-    path = new_path(spark, label)
+    path = new_path(spark, f"table-{label}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -49,6 +49,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def release(table: DataFrame) -> None:
-    """Deletes a table of materialize() that nothing will read again."""
+    """Deletes what materialize() has written for a table, or for what was made of it, and nothing else, once nothing will read it again."""
     for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        drop_path(table.sparkSession, folder)
+        if folder.rsplit("/", 1)[1].startswith("findwell-table-"):
+            drop_path(table.sparkSession, folder)

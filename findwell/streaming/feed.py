@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.index import Index, append, assign_ids, build_index, compact, load, save, stats_of
+from ..sources.stored import release
 
 DOCUMENT = "path string, basename string, mtime_ms long, size long, doc_type string, body string"
 EVENT = "seq long, kind string, old_path string, " + DOCUMENT
@@ -44,11 +45,13 @@ def write_segment(events: DataFrame, batch: int, path: str) -> None:
     """Applies one micro-batch of change events."""
     final = last_event_wins(expand_renames(events)).persist()
     changed = final.where("kind <> 'delete'").drop("seq", "kind", "old_path")
-    fresh = build_index(assign_ids(changed, F.col("path"), base=(batch + 1) * SPAN))
+    numbered = assign_ids(changed, F.col("path"), base=(batch + 1) * SPAN)
+    fresh = build_index(numbered)
     fresh.docs.write.mode("overwrite").parquet(f"{path}/docs/batch={batch}")
     fresh.postings.write.mode("overwrite").parquet(f"{path}/postings/batch={batch}")
     final.select("path").write.mode("overwrite").parquet(f"{path}/tombstones/batch={batch}")
     final.unpersist()
+    release(numbered)
 
 
 def start(events: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -75,7 +78,9 @@ def current(spark: SparkSession, path: str, base: Index | None = None) -> Index:
 
 def fold_segments(spark: SparkSession, path: str, target: str, base: Index | None = None) -> Index | None:
     """Compacts base and segments into a saved index."""
-    save(compact(current(spark, path, base)), target)
+    dense = compact(current(spark, path, base))
+    save(dense, target)
+    release(dense.docs)
     return load(spark, target)
 
 

@@ -235,7 +235,7 @@ def test_providers_and_endpoint(spark):
     slow = providers.FileProvider(files)
     slow.name, slow.deep = "deep", True
     waves = [[r["source"] for r in w.collect()] for w in providers.ProviderRegistry(providers.KeywordProvider(index, NOW), slow).waves("mango")]
-    assert waves == [["keyword"], ["keyword", "file"]] and len(list(registry.waves("mango"))) == 1
+    assert waves == [["keyword"], ["keyword", "deep"]] and len(list(registry.waves("mango"))) == 1
     import hashlib
 
     end = providers.SearchEndpoint(index, hashlib.sha256(b"t").hexdigest(), lambda: NOW)
