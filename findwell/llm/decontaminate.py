@@ -31,7 +31,7 @@ Q = 9
 RATE = 0.08
 BITS = 22
 BLOCK_ITEMS = 20_000
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 4 << 20  # about 80 MB for each worker: 20 bytes a q-gram
 EXPANDED = 1 << 21
 SCHEMA = "key long, item long, start long, stop long, edits int"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -80,11 +80,11 @@ class Index:
         item = np.repeat(np.arange(len(each)), [len(g) for g in each])
         pos = np.concatenate([np.arange(len(g)) for g in each]) if each else np.zeros(0, np.int64)
         by = np.argsort(h, kind="stable")
-        h, x.item, x.pos = h[by], item[by], pos[by]
+        h, x.item, x.pos = h[by], item[by].astype(np.int32), pos[by].astype(np.int32)
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         x.hashes = h[new]
-        x.first = np.append(np.flatnonzero(new), len(h))
+        x.first = np.append(np.flatnonzero(new), len(h)).astype(np.int32)
         x.filter = np.zeros(1 << BITS, bool)
         x.filter[(x.hashes >> np.uint64(64 - BITS)).astype(np.int64)] = True
         return x
