@@ -114,7 +114,7 @@ def main() -> None:
         def ask(raw: str, **options):
             def run():
                 found = search(index, raw, catalog.NOW_MS, **options).collect()
-                assert [r["rank"] for r in found] == list(range(1, 21)), raw
+                assert found and [r["rank"] for r in found] == list(range(1, len(found) + 1)), raw
                 return found
 
             return run
