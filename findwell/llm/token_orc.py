@@ -178,7 +178,8 @@ def tokens(spark: SparkSession, path: str) -> DataFrame:
     files = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     base = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     before = files.withColumn("base", base).select("part", "base")
-    return rows.join(before, "part").select("doc_id", (F.col("base") + F.col("skip")).alias("start"), "n_tokens", "ids")
+    # no more files than the session has shuffle partitions, whatever the corpus
+    return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("base") + F.col("skip")).alias("start"), "n_tokens", "ids")
 
 
 def read_digest(spark: SparkSession, path: str) -> DataFrame:
