@@ -266,3 +266,24 @@ def test_queries_agree_with_sql(spark, name):
 def test_entry_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["rank", "doc_id", "path", "basename", "score"]
+
+
+def test_written_tables(spark, tmp_path):
+    """Only what materialize() wrote is deleted, and a cluster needs a shared folder."""
+    from types import SimpleNamespace
+
+    from findwell.sources import stored
+
+    own = stored.materialize(spark.range(3), "x")
+    (folder,) = {f.rsplit("/", 1)[0].removeprefix("file:") for f in own.inputFiles()}
+    other = str(tmp_path / "other")
+    spark.range(2).write.parquet(other)
+    import os
+
+    assert own.count() == 3 and os.path.isdir(folder.replace("//", "/"))
+    stored.release(own.where("id > 0").unionByName(spark.read.parquet(other)))
+    assert not os.path.exists(folder.replace("//", "/")) and spark.read.parquet(other).count() == 2
+    conf = SimpleNamespace(get=lambda *a: None)
+    far = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"), conf=conf)
+    with pytest.raises(ValueError):
+        stored.shared_dir(far)
