@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,16 +24,17 @@ def _numeric_entities(values: pd.Series) -> pd.Series:
     return values.map(lambda s: None if s is None else _NUMERIC.sub(one, s))
 
 
-def decode_entities(text: Column, numeric: bool = False) -> Column:
+def decode_entities(text: Column, numeric: bool = False, names: Iterable[str] = tuple(ENTITIES)) -> Column:
     """Named entities stay in the JVM; numeric ones need Python and are decoded on request, before the ampersand."""
     out = _numeric_entities(text) if numeric else text
-    for name, char in ENTITIES.items():
-        out = F.regexp_replace(out, f"(?i)&{name};", char)
+    for name in names:
+        out = F.regexp_replace(out, f"(?i)&{name};", ENTITIES[name])
     return out
 
 
-def html_title(raw: Column, numeric: bool = False) -> Column:
-    title = F.trim(decode_entities(F.regexp_extract(raw, r"(?is)<title[^>]*>(.*?)</title>", 1), numeric))
+def html_title(raw: Column, numeric: bool = False, names: Iterable[str] = tuple(ENTITIES)) -> Column:
+    """names: the named entities that are decoded, all by default."""
+    title = F.trim(decode_entities(F.regexp_extract(raw, r"(?is)<title[^>]*>(.*?)</title>", 1), numeric, names))
     return F.nullif(title, F.lit(""))
 
 

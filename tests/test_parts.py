@@ -263,6 +263,20 @@ def test_queries_agree_with_sql(spark, name):
     assert sorted(repr(tuple(r[n] for n in names)) for r in df.collect()) == sorted(map(repr, found.fetchall()))
 
 
+@pytest.mark.parametrize("name", ["html_titles"])
+def test_page_queries_agree_on_entities(spark, tmp_path, name):
+    """Entities in titles, and pages without a title, as the SQL has them; the operator itself decodes all named ones."""
+    pages = [(1, "http://a/b", "<title>token = &quot;x1 &amp; yy</title><p>&quot;body&quot; text</p>"), (2, "http://c/long-name", "<p>no title &lt;here&gt;</p>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    df = catalog.queries()[name](spark, str(tmp_path))
+    found = con.execute(catalog.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    assert sorted(repr(tuple(r[n] for n in names)) for r in df.collect()) == sorted(map(repr, found.fetchall()))
+    assert one(spark, H.html_title(F.lit(pages[0][2]))) == 'token = "x1 & yy'
+
+
 def test_entry_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["rank", "doc_id", "path", "basename", "score"]
