@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.html import html_text, html_title
+from ..functions.html import ENTITIES, html_text, html_title
 from ..functions.markdown import extract_fields
 from ..functions.misc import basename, extension
 
@@ -45,9 +45,9 @@ def html_scan(spark: SparkSession, root: str, numeric: bool = True) -> DataFrame
     return html_documents(_text_files(spark, root, "*.{html,htm}").withColumn("basename", basename(F.col("path"))), numeric=numeric)
 
 
-def html_documents(pages: DataFrame, raw: str = "content", numeric: bool = False) -> DataFrame:
-    """Rows with raw HTML as indexable documents."""
-    shown = pages.withColumn("title", html_title(F.col(raw), numeric)).withColumn("body", html_text(F.col(raw), numeric))
+def html_documents(pages: DataFrame, raw: str = "content", numeric: bool = False, names: Iterable[str] = tuple(ENTITIES)) -> DataFrame:
+    """Rows with raw HTML as indexable documents. names: the named entities that are decoded in titles."""
+    shown = pages.withColumn("title", html_title(F.col(raw), numeric, names)).withColumn("body", html_text(F.col(raw), numeric))
     return shown.withColumn("name", F.coalesce("title", "basename")).withColumn("doc_type", F.lit("html")).drop(raw)
 
 

@@ -263,7 +263,7 @@ def test_queries_agree_with_sql(spark, name):
     assert sorted(repr(tuple(r[n] for n in names)) for r in df.collect()) == sorted(map(repr, found.fetchall()))
 
 
-@pytest.mark.parametrize("name", ["html_titles"])
+@pytest.mark.parametrize("name", ["html_titles", "html_index_lengths"])
 def test_page_queries_agree_on_entities(spark, tmp_path, name):
     """Entities in titles, and pages without a title, as the SQL has them; the operator itself decodes all named ones."""
     pages = [(1, "http://a/b", "<title>token = &quot;x1 &amp; yy</title><p>&quot;body&quot; text</p>"), (2, "http://c/long-name", "<p>no title &lt;here&gt;</p>")]
