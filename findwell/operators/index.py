@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.constants import BODY, COMPACT_LEAST, COMPACT_RATIO, FIELDS, PREFIX_CAP, SCHEMA_VERSION, TOKENIZER_VERSION
-from ..sources.stored import materialize, release
+from ..sources.stored import materialize, new_path, release
 
 N = len(FIELDS)
 TF = [f"tf_{i}" for i in range(N)]
@@ -76,57 +76,171 @@ def _spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
-def _postings(fields: list[int], rows: int = 1 << 17):
-    """Arrow batches of (doc_id, a text for each field) to postings, some ``rows`` at a time."""
+def _varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unsigned numbers as bytes, seven bits in each, the lowest first and the top bit set where more follow; and where each
+    number begins, with the end."""
+    values = values.astype(np.uint64)
+    size = np.ones(len(values), np.int64)
+    for k in range(1, 10):
+        more = values >= np.uint64(1 << 7 * k)
+        if not more.any():
+            break
+        size += more
+    ends = np.concatenate(([0], np.cumsum(size)))
+    out = np.empty(int(ends[-1]), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        has = np.flatnonzero(size > k)
+        low = (values[has] >> np.uint64(7 * k)).astype(np.uint8) & np.uint8(127)
+        out[ends[has] + k] = low | np.where(size[has] > k + 1, np.uint8(128), np.uint8(0))
+    return out, ends
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """The numbers of all rows of a column of _varints()."""
+    if not len(column):
+        return np.empty(0, np.uint64)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    if not len(data):
+        return np.empty(0, np.uint64)
+    last = np.flatnonzero(data < 128)
+    begins = np.concatenate(([0], last[:-1] + 1))
+    shift = np.arange(len(data)) - np.repeat(begins, last - begins + 1)
+    return np.add.reduceat((data & np.uint8(127)).astype(np.uint64) << (7 * shift).astype(np.uint64), begins)
+
+
+def _blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """A binary column: row i has the numbers from cuts[i] to cuts[i + 1]."""
+    data, ends = _varints(values)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(ends[cuts].astype(np.int32)), pa.py_buffer(data)])
+
+
+def _packed(fields: list[int], rows: int = 1 << 18):
+    """Arrow batches of (doc_id, a text for each field) to runs: the postings of some ``rows`` at a time by term, at most
+    ``RUN`` in a row, and a row without a term for each document, with its lengths."""
+
+    def block(ids: list[int | None], of: dict[int, tuple[list[int], list[str], list[list[int]]]]) -> Iterator[pa.RecordBatch]:
+        known = np.array([i is not None for i in ids])
+        plain = np.array([0 if i is None else i for i in ids], np.int64)
+        base = int(plain[known].min()) if known.any() else 0
+        coded = np.where(known, (plain - base).astype(np.uint64) + np.uint64(1), np.uint64(0))  # 0: null
+        order = np.argsort(coded, kind="stable")
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        codes: dict[str, int] = {}
+        keys, counts, lengths = {}, {}, np.zeros((len(ids), N), np.int32)
+        for field, (n_terms, terms, places) in of.items():
+            doc = np.repeat(np.arange(len(ids)), n_terms)
+            counts[field] = np.fromiter(map(len, places), np.int64, len(places))
+            np.add.at(lengths[:, field], doc, counts[field].astype(np.int32))
+            code = np.fromiter((codes.setdefault(t, len(codes)) for t in terms), np.int64, len(terms))
+            keys[field] = code * len(ids) + place[doc]
+        empty = [None] * len(ids)
+        own = [pa.array(lengths[:, i]) for i in range(N)]
+        columns = [pa.array(empty, pa.string()), pa.array(ids, pa.int64()), pa.array(empty, pa.int32()), *own, *[pa.array(empty, pa.binary())] * 3]
+        yield pa.RecordBatch.from_arrays(columns, RUN_NAMES)
+        merged = np.unique(np.concatenate([*keys.values(), np.empty(0, np.int64)]))
+        if not len(merged):
+            return
+        tf = np.zeros((len(merged), len(fields)), np.int64)
+        for i, field in enumerate(fields):
+            if field in keys:
+                tf[np.searchsorted(merged, keys[field]), i] = counts[field]
+        flat = np.empty(0, np.int64)
+        body_ends = np.zeros(len(merged) + 1, np.int64)
+        if BODY in keys and len(keys[BODY]):
+            said = of[BODY][2]
+            total = int(counts[BODY].sum())
+            flat = np.fromiter(itertools.chain.from_iterable(said[i] for i in np.argsort(keys[BODY]).tolist()), np.int64, total)
+            body_ends[1:] = np.cumsum(tf[:, fields.index(BODY)])
+        code = merged // len(ids)
+        starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        n = np.diff(np.concatenate((starts, [len(merged)])))
+        pieces = -(-n // RUN)  # long runs are cut, so that they can be dealt out
+        within = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        starts = np.repeat(starts, pieces) + within * RUN
+        cuts = np.concatenate((starts, [len(merged)]))
+        terms = pa.array(list(codes), pa.string()).take(pa.array(code[starts]))
+        which = coded[order][merged % len(ids)]
+        nothing = [pa.array([None] * len(starts), pa.int32())] * N
+        ahead = np.maximum(which[starts], np.uint64(1)) - np.uint64(1)
+        first = ahead.astype(np.int64) + base
+        rest = np.where(which > 0, which - np.repeat(ahead, np.diff(cuts)), np.uint64(0))  # a run's ids count from its first one
+        columns = [terms, pa.array(first), pa.array(np.diff(cuts).astype(np.int32)), *nothing, _blobs(rest, cuts), _blobs(tf.ravel(), cuts * len(fields)), _blobs(flat, body_ends[cuts])]
+        yield pa.RecordBatch.from_arrays(columns, RUN_NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, of, size = [], {f: ([], [], []) for f in fields}, 0
+        for part in batches:
+            for i in range(part.num_rows):  # one text at a time: a batch may hold ten thousand long ones
+                ids.append(part.column(0)[i].as_py())
+                for at, field in enumerate(fields, 1):
+                    text = part.column(at)[i].as_py()
+                    found = T.term_places(text) if text else {}
+                    n_terms, terms, places = of[field]
+                    n_terms.append(len(found))
+                    terms += found
+                    places += found.values()
+                    size += len(found) + (sum(map(len, found.values())) >> 2)
+                if size >= rows or len(ids) >= rows:
+                    yield from block(ids, of)
+                    ids, of, size = [], {f: ([], [], []) for f in fields}, 0
+        if ids:
+            yield from block(ids, of)
+
+    return run
 
-    def batch(terms: list[str], ids: list[int], tf: list[list[int]], positions: list[list[int]]) -> pa.RecordBatch:
-        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, positions), np.int64, len(positions)))))
-        flat = np.fromiter(itertools.chain.from_iterable(positions), np.int32, int(ends[-1]))
-        counts = np.array(tf, np.int32).reshape(-1, N)
-        columns = [pa.array(terms, pa.string()), pa.array(ids, pa.int64()), *[pa.array(np.ascontiguousarray(counts[:, i])) for i in range(N)]]
-        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], ["term", "doc_id", *TF, "positions"])
+
+def _unpacked(fields: list[int], rows: int = 1 << 17):
+    """Runs to postings, row by row in their order; rows without a term give none."""
+
+    def part_of(runs: pa.RecordBatch) -> pa.RecordBatch:
+        n = runs.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = _numbers(runs.column("ids"))
+        doc = np.repeat(runs.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), n)
+        ids = pa.array(doc + coded.astype(np.int64) - 1, pa.int64(), mask=coded == 0)
+        own = _numbers(runs.column("counts")).astype(np.int32).reshape(-1, len(fields))
+        tf = [pa.array(np.ascontiguousarray(own[:, fields.index(i)]) if i in fields else np.zeros(len(doc), np.int32)) for i in range(N)]
+        ends = np.concatenate(([0], np.cumsum(own[:, fields.index(BODY)] if BODY in fields else np.zeros(len(doc), np.int32))))
+        places = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(_numbers(runs.column("places")).astype(np.int32)))
+        terms = runs.column("term").take(pa.array(np.repeat(np.arange(len(n)), n)))
+        return pa.RecordBatch.from_arrays([terms, ids, *tf, places], ["term", "doc_id", *TF, "positions"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, ids, tf, positions = [], [], [], []
         for part in batches:
-            for doc_id, *texts in zip(*[c.to_pylist() for c in part.columns]):
-                own: dict[str, tuple[list[int], list[int]]] = {}
-                for field, text in zip(fields, texts):
-                    if not text:
-                        continue
-                    for term, places in T.term_places(text).items():
-                        entry = own.get(term)
-                        if entry is None:
-                            own[term] = entry = ([0] * N, [])
-                        entry[0][field] = len(places)
-                        if field == BODY:
-                            entry[1].extend(places)
-                terms += own
-                ids += [doc_id] * len(own)
-                for counts, places in own.values():
-                    tf.append(counts)
-                    positions.append(places)
-                if len(terms) >= rows:
-                    yield batch(terms, ids, tf, positions)
-                    terms, ids, tf, positions = [], [], [], []
-        if terms:
-            yield batch(terms, ids, tf, positions)
+            part = part.filter(part.column("term").is_valid())
+            before = np.cumsum(part.column("n").to_numpy(zero_copy_only=False).astype(np.int64)) if part.num_rows else np.empty(0, np.int64)
+            at = 0
+            while at < part.num_rows:
+                done = int(before[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(before, done + rows, "right")))
+                yield part_of(part.slice(at, to - at))
+                at = to
 
     return run
 
 
+RUN = 128  # postings of a term in one row of the table of runs
+RUN_NAMES = ["term", "doc_id", "n", *LEN, "ids", "counts", "places"]
+RUNS = f"term string, doc_id long, n int, {', '.join(f'{x} int' for x in LEN)}, ids binary, counts binary, places binary"
 POSTING = f"term string, doc_id long, {', '.join(f'{t} int' for t in TF)}, positions array<int>"
 
 
+def _texts(docs: DataFrame, lite: bool) -> tuple[list[int], DataFrame]:
+    """The fields that documents have (absent ones are empty), and doc_id with their texts."""
+    fields = {i: F.col(name).cast("string") for i, name in enumerate(FIELDS) if name in docs.columns and not (lite and i == BODY)}
+    return list(fields), _spread(docs.select(F.col("doc_id").cast("long"), *[c.alias(f"__{i}") for i, c in fields.items()]))
+
+
 def postings_of(docs: DataFrame, lite: bool = False) -> DataFrame:
     """Postings of documents with a text column for each field (absent ones are empty).
 
     A document gives all its postings at once, so nothing is shuffled. The work is done on Arrow batches: counting
     and folding in higher-order functions and aggregations of the JVM took several times as long (see README).
     """
-    fields = {i: F.col(name).cast("string") for i, name in enumerate(FIELDS) if name in docs.columns and not (lite and i == BODY)}
-    texts = _spread(docs.select(F.col("doc_id").cast("long"), *[c.alias(f"__{i}") for i, c in fields.items()]))
-    return texts.mapInArrow(_postings(list(fields)), POSTING)
+    fields, texts = _texts(docs, lite)
+    pack, unpack = _packed(fields), _unpacked(fields)
+    return texts.mapInArrow(lambda batches: unpack(pack(batches)), POSTING)
 
 
 def dictionary_of(postings: DataFrame) -> DataFrame:
@@ -140,9 +254,9 @@ def stats_of(docs: DataFrame) -> DataFrame:
     return docs.where(~F.col("deleted")).agg(F.count("*").alias("n"), *means)
 
 
-def _described(docs: DataFrame, postings: DataFrame, lite: bool) -> DataFrame:
+def _described(docs: DataFrame, runs: DataFrame, lite: bool) -> DataFrame:
     """The docs relation: metadata with defaults, field lengths, nothing deleted."""
-    lengths = postings.groupBy("doc_id").agg(*[F.sum(t).cast("int").alias(c) for t, c in zip(TF, LEN)])
+    lengths = runs.where("term is null").groupBy("doc_id").agg(*[F.sum(c).cast("int").alias(c) for c in LEN])
     out = docs.drop("tags") if "tags" in docs.columns and dict(docs.dtypes)["tags"] == "string" else docs
     if "tag_list" in out.columns:
         out = out.withColumn("tags", F.col("tag_list")).drop("tag_list")
@@ -151,42 +265,55 @@ def _described(docs: DataFrame, postings: DataFrame, lite: bool) -> DataFrame:
         if name not in out.columns:
             out = out.withColumn(name, value)
     kept = out.select("doc_id", "path", T.fold(F.col("path")).alias("folded_path"), *defaults)
-    joined = kept.join(lengths, "doc_id", "left").na.fill({c: 0 for c in LEN}).withColumn("deleted", F.lit(False))
+    # bodies meet the few numbers of their document in a hash table, so they are not sorted
+    joined = kept.join(lengths.hint("shuffle_hash"), "doc_id", "left").na.fill({c: 0 for c in LEN}).withColumn("deleted", F.lit(False))
     return joined.withColumn("body", F.lit("")) if lite else joined
 
 
 def build_index(docs: DataFrame, lite: bool = False) -> Index:
     """Index of documents: doc_id, path, and any of basename, mtime_ms, size, doc_type, tags and the
-    fields' texts. ``lite`` leaves bodies out."""
-    postings = postings_of(docs, lite)
-    joined = _described(docs, postings, lite)
-    return Index(joined, postings, dictionary_of(postings), stats_of(joined))
+    fields' texts. ``lite`` leaves bodies out. It is written to the shared folder, so texts are tokenized once
+    however often its relations are used."""
+    path = new_path(docs.sparkSession, "index")
+    build_and_save(docs, path, lite)
+    return load(docs.sparkSession, path)
+
+
+def write_relations(docs: DataFrame, docs_path: str, postings_path: str, lite: bool = False) -> None:
+    """Writes the docs and postings relations; texts are tokenized once.
+
+    That pass writes runs: many postings of a term in a row as packed bytes, and each document's lengths. Runs are
+    what is dealt out and sorted, a tenth of the postings they give; those are made again as the last step of the write.
+    """
+    fields, texts = _texts(docs, lite)
+    # written as they come first: sampling the bounds of the range partitions would else tokenize everything twice
+    runs = materialize(texts.mapInArrow(_packed(fields), RUNS), "runs")
+    placed = runs.where("term is not null").drop(*LEN).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    _put_postings(placed.mapInArrow(_unpacked(fields), POSTING), postings_path)
+    _described(docs, runs, lite).write.mode("overwrite").parquet(docs_path)
+    release(runs)
 
 
 def build_and_save(docs: DataFrame, path: str, lite: bool = False) -> None:
-    """As build_index and save, but texts are tokenized once: the other relations are made from the written postings."""
+    """Writes an index that load() reads; the dictionary and the statistics are made from what was written."""
     spark = docs.sparkSession
-    # written as they come first: sampling the bounds of the range partitions would else tokenize everything twice
-    cut = materialize(postings_of(docs, lite), "postings")
-    _write_postings(cut, path)
-    release(cut)
-    postings = spark.read.parquet(f"{path}/postings")
-    joined = _described(docs, postings, lite)
-    save(Index(joined, postings, dictionary_of(postings), stats_of(joined)), path, postings=False)
+    write_relations(docs, f"{path}/docs", f"{path}/postings", lite)
+    _write_rest(spark, dictionary_of(spark.read.schema(POSTING).parquet(f"{path}/postings")), path)
 
 
-def _write_postings(postings: DataFrame, path: str) -> None:
-    placed = postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
-    placed.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
+def _put_postings(placed: DataFrame, path: str) -> None:
+    placed.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(path)
 
 
-def save(index: Index, path: str, postings: bool = True) -> None:
+def save(index: Index, path: str) -> None:
     """Parquet, with postings and dictionary in order of terms, so that exact and prefix lookups skip row groups."""
-    spark = index.docs.sparkSession
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    if postings:
-        _write_postings(index.postings, path)
-    index.dictionary.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/dictionary")
+    _put_postings(index.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id"), f"{path}/postings")
+    _write_rest(index.docs.sparkSession, index.dictionary, path)
+
+
+def _write_rest(spark: SparkSession, dictionary: DataFrame, path: str) -> None:
+    dictionary.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/dictionary")
     stats_of(spark.read.parquet(f"{path}/docs")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
     meta = json.dumps({"schema": SCHEMA_VERSION, "tokenizer": TOKENIZER_VERSION})
     spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
