@@ -140,6 +140,8 @@ def rank(index: Index, groups: DataFrame, options: RankOptions, phrases: DataFra
     # phase two: positions of the winning terms, for the best documents only
     wanted = top.select("query_id", "doc_id", F.explode("matched").alias("term"))
     near = index.postings.where(F.size("positions") > 0).select("term", "doc_id", "positions")
+    if options.broadcast:  # the postings of other terms are left behind before anything is dealt out
+        near = near.join(F.broadcast(groups.select(F.col("variant").alias("term")).distinct()), "term", "left_semi")
     hint = F.broadcast if options.few else lambda df: df
     lists = near.join(hint(wanted), ["term", "doc_id"]).groupBy("query_id", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
     scored = top.join(hint(lists), ["query_id", "doc_id"], "left")
