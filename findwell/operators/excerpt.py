@@ -59,7 +59,7 @@ def _bounds(source: str, lo: int, hi: int, max_chars: int) -> tuple[int, int]:
 def make_excerpt(source: str, terms, max_chars: int = K.EXCERPT_CHARS, weights: dict[str, float] | None = None) -> tuple[str, list[tuple[int, int]]]:
     """The stretch of at most about ``max_chars`` with the largest weight of distinct terms, and where they stand in it."""
     wanted = frozenset(terms)
-    hits = [t for t in tokenize(source) if t.text in wanted]
+    hits = [t for t in tokenize(source) if t.text in wanted] if wanted else []
     if hits:
         first, last = _stretch(hits, max_chars, weights or {})
         start, stop = _bounds(source, hits[first].start, hits[last].end, max_chars)
@@ -94,7 +94,12 @@ def with_excerpts(results: DataFrame, source: str = "body", matched: str = "matc
 
     scale = F.col(weights) if weights else F.lit(None).cast("map<string,double>")
     whole = F.coalesce(F.col(source), F.lit(""))
-    return results.withColumn("excerpt", F.when(whole != "", cut(whole, F.col(matched), scale)))
+    # without a word to find the excerpt is the head of the text, which the JVM cuts: such texts do not go to Python
+    sought = F.coalesce(F.size(matched), F.lit(0)) > 0
+    tail = F.when(F.length(whole) > max_chars, ELLIPSIS).otherwise("")
+    head = F.struct(F.concat(F.translate(F.substring(whole, 1, max_chars), "\r\n\t", "   "), tail).alias("text"), F.array().cast("array<struct<start:int,end:int>>").alias("ranges"))
+    found = cut(F.when(sought, whole), F.when(sought, F.col(matched)), F.when(sought, scale))
+    return results.withColumn("excerpt", F.when(whole != "", F.when(sought, found).otherwise(head)))
 
 
 def title_ranges(basename: str, matched) -> list[tuple[int, int]]:
