@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.index import Index, append, assign_ids, build_index, compact, load, save, stats_of
+from ..operators.index import Index, append, assign_ids, compact, load, save, stats_of, write_relations
 from ..sources.stored import release
 
 DOCUMENT = "path string, basename string, mtime_ms long, size long, doc_type string, body string"
@@ -46,9 +46,7 @@ def write_segment(events: DataFrame, batch: int, path: str) -> None:
     final = last_event_wins(expand_renames(events)).persist()
     changed = final.where("kind <> 'delete'").drop("seq", "kind", "old_path")
     numbered = assign_ids(changed, F.col("path"), base=(batch + 1) * SPAN)
-    fresh = build_index(numbered)
-    fresh.docs.write.mode("overwrite").parquet(f"{path}/docs/batch={batch}")
-    fresh.postings.write.mode("overwrite").parquet(f"{path}/postings/batch={batch}")
+    write_relations(numbered, f"{path}/docs/batch={batch}", f"{path}/postings/batch={batch}")
     final.select("path").write.mode("overwrite").parquet(f"{path}/tombstones/batch={batch}")
     final.unpersist()
     release(numbered)
