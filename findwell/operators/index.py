@@ -279,16 +279,19 @@ def build_index(docs: DataFrame, lite: bool = False) -> Index:
     return load(docs.sparkSession, path)
 
 
-def write_relations(docs: DataFrame, docs_path: str, postings_path: str, lite: bool = False) -> None:
-    """Writes the docs and postings relations; texts are tokenized once.
+def write_relations(docs: DataFrame, docs_path: str, postings_path: str, lite: bool = False, ordered: bool = True) -> None:
+    """Writes the docs and postings relations; texts are tokenized once. ``ordered``: postings in order of terms over all files;
+    else they are written as they come, without an exchange.
 
     That pass writes runs: many postings of a term in a row as packed bytes, and each document's lengths. Runs are
-    what is dealt out and sorted, a tenth of the postings they give; those are made again as the last step of the write.
+    what is dealt out and sorted, instead of the postings they give; those are made again as the last step of the write.
     """
     fields, texts = _texts(docs, lite)
     # written as they come first: sampling the bounds of the range partitions would else tokenize everything twice
     runs = materialize(texts.mapInArrow(_packed(fields), RUNS), "runs")
-    placed = runs.where("term is not null").drop(*LEN).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    placed = runs.where("term is not null").drop(*LEN)
+    if ordered:
+        placed = placed.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
     _put_postings(placed.mapInArrow(_unpacked(fields), POSTING), postings_path)
     _described(docs, runs, lite).write.mode("overwrite").parquet(docs_path)
     release(runs)

@@ -46,7 +46,7 @@ def write_segment(events: DataFrame, batch: int, path: str) -> None:
     final = last_event_wins(expand_renames(events)).persist()
     changed = final.where("kind <> 'delete'").drop("seq", "kind", "old_path")
     numbered = assign_ids(changed, F.col("path"), base=(batch + 1) * SPAN)
-    write_relations(numbered, f"{path}/docs/batch={batch}", f"{path}/postings/batch={batch}")
+    write_relations(numbered, f"{path}/docs/batch={batch}", f"{path}/postings/batch={batch}", ordered=False)
     final.select("path").write.mode("overwrite").parquet(f"{path}/tombstones/batch={batch}")
     final.unpersist()
     release(numbered)
