@@ -141,18 +141,18 @@ def near_duplicates(df: DataFrame, row: str, text: str) -> DataFrame:
     """(row, component) for every row of df; rows: any long, equal ones have equal texts."""
     texts = df.select(F.col(row).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     prints = materialize(texts.mapInArrow(_prints, "row long, id long, bands array<long>"), "resemblance")
-    nodes = materialize(prints.groupBy("id").agg(F.min_by("bands", "row").alias("bands"), F.min("row").alias("row")), "nodes")
+    nodes = materialize(prints.groupBy("id").agg(F.min_by("bands", "row").alias("bands"), F.min("row").alias("row")), "nodes", few=True)
     keyed = nodes.select("id", "row", F.explode("bands").alias("band"))
     # bands of the same nodes (by their number, least and exclusive or) are one; no band's nodes are gathered for that
     groups = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("b"), F.bit_xor("id").alias("mark")).where("n > 1")
-    bands = materialize(groups.groupBy("n", "b", "mark").agg(F.min("band").alias("band")), "bands")
+    bands = materialize(groups.groupBy("n", "b", "mark").agg(F.min("band").alias("band")), "bands", few=True)
     flat = materialize(keyed.join(bands.drop("mark"), "band"), "members")
-    close = materialize(fingerprint_pairs(texts, prints), "close")
+    close = materialize(fingerprint_pairs(texts, prints), "close", few=True)
     ends = [close.select(F.col(x).alias("id"), F.col(f"{x}_row").alias("row")) for x in ("a", "b")]
     needed = flat.select("id", "row").unionByName(ends[0]).unionByName(ends[1]).groupBy("id").agg(F.min("row").alias("row"))
     found = texts.join(needed.hint("shuffle_hash"), "row").select("id", "text").mapInArrow(_sets, "id long, shingles array<long>")
     sets = materialize(found.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
-    pairs = flat.where("id <> b").select(F.col("id").alias("a"), "b").unionByName(close.select("a", "b")).distinct()
+    pairs = flat.where("id <> b").select(F.col("id").alias("a"), "b").unionByName(close.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct()
     other = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(other, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
     near = materialize(both.where(LEAST[1] * F.col("n") >= LEAST[0] * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b"), "near")

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, chunks, keyed_texts, materialize, release
 
 SEED = 42
+ONE_TASK = 1 << 18
 _SIGN = np.uint64(1 << 63)
 # spread[b] has bit i of b in its i-th byte
 _SPREAD = sum(((np.arange(256, dtype=np.uint64) >> np.uint64(i)) & np.uint64(1)) << np.uint64(8 * i) for i in range(8))
@@ -180,33 +181,50 @@ def link_shard(fps: np.ndarray, own: np.ndarray, reach: int, small: int = 1 << 1
     return found.label
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, root) from all edges at once."""
+    whole = [b for b in batches if b.num_rows]
+    if not whole:
+        return
+    edges = pa.Table.from_batches(whole)
+    ids, at = np.unique(np.concatenate([edges.column(c).to_numpy() for c in ("a", "b")]), return_inverse=True)
+    found = Union(len(ids))
+    found.add(at[: edges.num_rows], at[edges.num_rows :])
+    moved = np.flatnonzero(found.label != np.arange(len(ids)))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[found.label[moved]])], ["a", "root"])
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(a, root) for each a of edges (a long, b long, b < a): the smallest id reachable.
 
-    Each round hooks every a to its smallest neighbour and turns its other edges into edges
+    Up to ``ONE_TASK`` edges are united in one task, as rounds of jobs would take longer than their work. Else each round hooks every a to its smallest neighbour and turns its other edges into edges
     between smaller ids, until every a has one edge left: a forest with the same components.
     Pointer jumping then takes each node to its root. All rounds work on written tables.
     """
-    rest = materialize(edges.where("b < a").distinct(), label)
+    rest = materialize(edges.where("b < a").select("a", "b").distinct(), label, few=True)
+    if rest.count() <= ONE_TASK:
+        found = materialize(rest.coalesce(1).mapInArrow(_united, "a long, root long"), label)
+        release(rest)
+        return found
     while True:
-        hooks = materialize(rest.groupBy("a").agg(F.min("b").alias("p"), F.count("*").alias("n")), label)
+        hooks = materialize(rest.groupBy("a").agg(F.min("b").alias("p"), F.count("*").alias("n")), label, few=True)
         if hooks.where("n > 1").isEmpty():
             found = jump(hooks.select("a", "p"), label)
             release(rest)
             release(hooks)
             return found
         lower = rest.join(hooks, "a").where("b > p").select(F.col("b").alias("a"), F.col("p").alias("b"))
-        less = materialize(hooks.select("a", F.col("p").alias("b")).unionByName(lower).distinct(), label)
+        less = materialize(hooks.select("a", F.col("p").alias("b")).unionByName(lower).distinct(), label, few=True)
         release(rest)
         release(hooks)
         rest = less
 
 
 def jump(parents: DataFrame, label: str) -> DataFrame:
-    parents = materialize(parents, label)
+    parents = materialize(parents, label, few=True)
     while True:
         up = parents.select(F.col("a").alias("p"), F.col("p").alias("g"))
-        nxt = materialize(parents.join(up, "p", "left").select("a", F.coalesce("g", "p").alias("p"), F.col("g").isNotNull().alias("moved")), label)
+        nxt = materialize(parents.join(up, "p", "left").select("a", F.coalesce("g", "p").alias("p"), F.col("g").isNotNull().alias("moved")), label, few=True)
         release(parents)
         parents = nxt.select("a", "p")
         if nxt.where("moved").isEmpty():
@@ -249,7 +267,7 @@ def link(nodes: DataFrame, distance: int = 2, sample: int = 1 << 16, leaf: int =
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 2, width: int = 3) -> DataFrame:
     """(key, fp long, component long) for every row of df."""
     prints = materialize(fingerprint(df, key, text, width), "fingerprints")
-    nodes = materialize(prints.where("key is not null").groupBy("fp").agg(F.min("key").alias("id")), "nodes")
+    nodes = materialize(prints.where("key is not null").groupBy("fp").agg(F.min("key").alias("id")), "nodes", few=True)
     roots = link(nodes, distance)
     named = nodes.join(roots, nodes["id"] == roots["a"], "left").select("fp", F.coalesce("root", "id").alias("component"))
     return prints.join(named, "fp", "left").select(

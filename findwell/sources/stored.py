@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+FILES = 4
 _local: dict[str, str] = {}
 
 
@@ -33,11 +34,12 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/findwell-{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes to the shared folder and reads back."""
+def materialize(df: DataFrame, label: str, few: bool = False) -> DataFrame:
+    """Writes to the shared folder and reads back. few: for tables of short rows; a task writes several partitions one after the other into one
+    file, so there are at most ``FILES`` files a core, however many partitions the session has."""
     spark = df.sparkSession
     path = new_path(spark, f"table-{label}")
-    df.write.parquet(path)
+    (df.coalesce(FILES * spark.sparkContext.defaultParallelism) if few else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -25,6 +25,7 @@ from findwell.llm import simhash as SH
 from findwell.llm import suffix_dedup as SD
 from findwell.llm import token_orc as TO
 from findwell.llm import toxicity as TX
+from findwell.sources import stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -167,6 +168,29 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(1, 61)} | {80: 0, 90: 0, 100: 0, 200: 199}
 
 
+@pytest.mark.parametrize("bound", [0, SH.ONE_TASK])
+def test_components_of_few_edges_take_one_task(spark, bound, monkeypatch):
+    """Rounds of jobs are for many edges; both ways give the same."""
+    rng, labels, put = random.Random(5), [], SH.materialize
+    monkeypatch.setattr(SH, "ONE_TASK", bound)
+    monkeypatch.setattr(SH, "materialize", lambda df, label, few=False: labels.append(label) or put(df, label, few))
+    pairs = [sorted(rng.sample(range(-200, 200), 2)) for _ in range(180)]
+    got = SH.components(spark.createDataFrame([(b, a) for a, b in pairs] * 2, "a long, b long"))
+    near = {tuple(p) for p in pairs}
+    want = components(range(-200, 200), lambda a, b: (min(a, b), max(a, b)) in near)
+    assert sorted(map(tuple, got.collect())) == sorted((a, r) for a, r in want.items() if a != r)
+    assert len(labels) > 2 if not bound else len(labels) == 2
+    assert SH.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_tables_of_short_rows_have_few_files(spark):
+    """However many partitions a session has."""
+    rows = spark.range(500).repartition(200, "id")
+    table = SH.materialize(rows, "few", few=True)
+    assert len(table.inputFiles()) <= stored.FILES * spark.sparkContext.defaultParallelism < len(SH.materialize(rows, "many").inputFiles())
+    assert sorted(r[0] for r in table.collect()) == list(range(500))
+
+
 def test_near_duplicates_of_the_pipeline(spark):
     """Groups by exact similarity of five-word shingles, 0.8 or more, whatever their fingerprints; similar but lesser pairs stay."""
     rng = random.Random(31)
