@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, keyed_texts, materialize, mix64
+from .common import as_bytes, chunks, gives_back, keyed_texts, materialize, mix64
 
 LENGTH = 400
 SEED = 64
@@ -162,6 +162,7 @@ class Family:
 
 
 def _anchor_rows(length: int, seed: int):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = as_bytes(batch.column(1))
@@ -196,6 +197,7 @@ def _family_scan(seed: int):
         many = pa.compute.list_value_length(own).to_numpy()
         return pa.RecordBatch.from_arrays([own.flatten(), where.flatten(), pa.array(np.repeat(kinds, many))], ["row", "pos", "head"])
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, taken, begin = Family(), [], [0]
         for batch in batches:
@@ -232,22 +234,24 @@ def _contexts(length: int, seed: int, hot):
     """For (row, text, spots): per section (the whole range, or the parts for heads in hot), the bytes around each spot, equal ones of the batch with all their
     places. The key is a hash of those bytes that all strings of the section share."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[tuple[bytes, int, int, int], list[tuple[int, int]]] = {}
             data, offsets = as_bytes(batch.column("body"))
-            raw, heads = data.tobytes(), (data + np.uint8(1)).tobytes()  # heads are named as they travelled, shifted by one
+            raw = memoryview(data)  # no copy of the batch
             at, every = offsets.tolist(), list(enumerate(sections(length, seed)))
             for d, (row, spots) in enumerate(zip(batch.column("row").to_pylist(), batch.column("spots").to_pylist())):
                 begin, end = at[d], at[d + 1]
                 for s in spots or ():
                     p = begin + s
-                    for k, (a, b) in every[1:] if named(heads[p : p + seed]) in hot.value else every[:1]:
+                    often = bool(hot.value) and named((data[p : p + seed] + np.uint8(1)).tobytes()) in hot.value  # heads are named as they travelled, shifted by one
+                    for k, (a, b) in every[1:] if often else every[:1]:
                         if s < a or p + length - b + 1 > end:
                             continue  # no string of the section fits into the document
                         lo = max(begin, p - b + 1)
                         key = named(raw[p - a : p + length - b + 1], k)
-                        found.setdefault((raw[lo : min(end, p - a + length)], p - lo, k, key), []).append((row, s))
+                        found.setdefault((bytes(raw[lo : min(end, p - a + length)]), p - lo, k, key), []).append((row, s))
             rows, pos, n = [], [], [0]
             for places in found.values():
                 rows += [r for r, _ in places]
@@ -324,6 +328,7 @@ def _windows(length: int, seed: int, some: int = 4096):
                 out[1].append(spot - section[0] - b + 1)
                 out[2].append(spot - section[0] - a + length)
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = [b for b in batches if b.num_rows]
         if not whole:
@@ -419,6 +424,7 @@ def _head(h: np.ndarray) -> np.ndarray:
 
 
 def _word_anchors(words: int, seed: int):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = as_bytes(batch.column("body"))
@@ -442,6 +448,7 @@ def _word_places(words: int, seed: int, hot):
     """The hashes of the windows of each repeated anchor, with the places where just these stand: equal ones of a block are one row. They
     are dealt out by the anchor; those of frequent anchors window by window, by the window's own hash."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = as_bytes(batch.column("body"))
@@ -478,6 +485,7 @@ def _word_places(words: int, seed: int, hot):
 def _word_ranges(words: int):
     """Whole partitions of those rows: the ranges of the windows that have two places or more."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = [b for b in batches if b.num_rows]
         if not whole:
@@ -512,7 +520,7 @@ def repeated_words(rows: DataFrame, words: int) -> DataFrame:
     """(row, passages array<struct<lo, hi>>), in words: the passages of ``words`` words or more that start anywhere else."""
     seed, parts = min(SEED_WORDS, words), partitions(rows)
     anchored = rows.select("row", "body").mapInArrow(_word_anchors(words, seed), "head binary, rows array<long>, spots array<long>")
-    twice = materialize(anchored.repartition(parts, F.xxhash64("head")).mapInArrow(_family_scan(HEAD), "row long, pos long, head long"), "anchors")
+    twice = materialize(anchored.repartition(parts, F.xxhash64("head")).mapInArrow(_family_scan(HEAD), "row long, pos long, head long"), "anchors", few=True)
     places = twice.groupBy("row").agg(F.collect_set("pos").alias("spots"))
     near = rows.join(places.hint("shuffle_hash"), "row").mapInArrow(_word_places(words, seed, frequent(twice)), "key long, hashes array<long>, rows array<long>, starts array<long>")
     ranges = near.repartition(parts, "key").mapInArrow(_word_ranges(words), "row long, lo long, hi long")
@@ -543,7 +551,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     long, parts = rows.where(F.octet_length("body") >= length), partitions(rows)
     anchored = long.select("row", "body").mapInArrow(_anchor_rows(length, seed), "head binary, rows array<long>, spots array<long>")
     dealt = anchored.repartition(parts, F.xxhash64("head"))
-    twice = materialize(dealt.mapInArrow(_family_scan(seed), "row long, pos long, head long"), "anchors")
+    twice = materialize(dealt.mapInArrow(_family_scan(seed), "row long, pos long, head long"), "anchors", few=True)
     places = twice.groupBy("row").agg(F.collect_set("pos").alias("spots"))
     # the same exchange of the texts serves this join and the one with the result
     near = rows.join(places.hint("shuffle_hash"), "row").mapInArrow(
@@ -588,6 +596,7 @@ def removal(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
     not removed)."""
     rows = _rows(keyed_texts(df, key, text), "key", "text").select("key", "body", "row")
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, many, digest, cut = [], [], [], [], []
@@ -623,6 +632,7 @@ def dedup_text(df: DataFrame, key: str = "doc_id", text: str = "text", length: i
     rows = _rows(plain, names[df.columns.index(key)], own).drop(own)
     others = [n for n in names if n != own]
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             passages = batch.column("passages") if words else None

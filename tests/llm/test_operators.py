@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -283,6 +284,27 @@ def test_repeated_passages_by_words(spark):
         assert {j for p in by.get(ids[i]) or () for j in range(p["lo"], p["hi"])} == set(np.flatnonzero(gone).tolist()), (i, t)
 
 
+def test_contexts_are_cut_from_the_batch_itself():
+    """No other copy of a batch's bytes is made, and a worker's freed memory goes back when its task ends."""
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(4000)) + "x" * (24 << 20)
+
+    class Hot:
+        value = {SD.named((np.frombuffer(text[2000:2064].encode(), np.uint8) + np.uint8(1)).tobytes())}
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([text]), pa.array([[1000, 2000]], pa.list_(pa.int64()))], ["row", "body", "spots"])
+    tracemalloc.start()
+    got = [r for b in SD._contexts(400, 64, Hot)(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20
+    whole, parts = SD.sections(400, 64)[0], SD.sections(400, 64)[1:]
+    assert [(r["section"], r["spots"]) for r in got] == [(0, [1000])] + [(k, [2000]) for k in range(1, 9)]
+    for r in got:
+        a, b = (whole, *parts)[r["section"]]
+        (spot,) = r["spots"]
+        assert r["context"].decode() == text[spot - b + 1 : spot - a + 400] and r["left"] == b - 1
+
+
 def test_suffix_family_merges_levels():
     family = SD.Family(base=4)
     rng = np.random.default_rng(1)
