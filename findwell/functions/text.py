@@ -178,7 +178,7 @@ def term_list(text: str) -> list[str]:
     return [t.text for t in tokenize(text)]
 
 
-CACHED_WORDS = 1 << 18
+CACHED_WORDS = 1 << 16
 _known: dict[str, str | tuple[tuple[int, str], ...]] = {}
 
 

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import ctypes
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -12,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.workers import gives_back  # noqa: F401
 from ..sources.stored import drop_path, materialize, new_path, release, shared_dir  # noqa: F401
 
 def reachable(spark: SparkSession) -> None:
@@ -28,20 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def gives_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """A worker outlives its task and keeps what it has freed; so run's memory goes back to the system when it ends."""
-
-    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-                trim(0)
-
-    return out
-
-
 def keyed_texts(df: DataFrame, key: str, text: str, null_as: str | None = "") -> DataFrame:
     """Only (key, text), as long and string; other columns, whatever their names, are left behind."""
     body = F.col(f"`{text}`").cast("string")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 import json
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.constants import BODY, COMPACT_LEAST, COMPACT_RATIO, FIELDS, PREFIX_CAP, SCHEMA_VERSION, TOKENIZER_VERSION
+from ..functions.workers import gives_back, short_batches
 from ..sources.stored import materialize, new_path, release
 
 N = len(FIELDS)
@@ -119,7 +121,7 @@ def _packed(fields: list[int], rows: int = 1 << 18):
     """Arrow batches of (doc_id, a text for each field) to runs: the postings of some ``rows`` at a time by term, at most
     ``RUN`` in a row, and a row without a term for each document, with its lengths."""
 
-    def block(ids: list[int | None], of: dict[int, tuple[list[int], list[str], list[list[int]]]]) -> Iterator[pa.RecordBatch]:
+    def block(ids: list[int | None], codes: dict[str, int], of: dict[int, tuple[array, array, array, array]]) -> Iterator[pa.RecordBatch]:
         known = np.array([i is not None for i in ids])
         plain = np.array([0 if i is None else i for i in ids], np.int64)
         base = int(plain[known].min()) if known.any() else 0
@@ -127,14 +129,12 @@ def _packed(fields: list[int], rows: int = 1 << 18):
         order = np.argsort(coded, kind="stable")
         place = np.empty(len(ids), np.int64)
         place[order] = np.arange(len(ids))
-        codes: dict[str, int] = {}
         keys, counts, lengths = {}, {}, np.zeros((len(ids), N), np.int32)
-        for field, (n_terms, terms, places) in of.items():
-            doc = np.repeat(np.arange(len(ids)), n_terms)
-            counts[field] = np.fromiter(map(len, places), np.int64, len(places))
+        for field, (n_terms, terms, many, _) in of.items():
+            doc = np.repeat(np.arange(len(ids)), np.array(n_terms))
+            counts[field] = np.array(many, np.int64)
             np.add.at(lengths[:, field], doc, counts[field].astype(np.int32))
-            code = np.fromiter((codes.setdefault(t, len(codes)) for t in terms), np.int64, len(terms))
-            keys[field] = code * len(ids) + place[doc]
+            keys[field] = np.array(terms, np.int64) * len(ids) + place[doc]
         empty = [None] * len(ids)
         own = [pa.array(lengths[:, i]) for i in range(N)]
         columns = [pa.array(empty, pa.string()), pa.array(ids, pa.int64()), pa.array(empty, pa.int32()), *own, *[pa.array(empty, pa.binary())] * 3]
@@ -149,9 +149,10 @@ def _packed(fields: list[int], rows: int = 1 << 18):
         flat = np.empty(0, np.int64)
         body_ends = np.zeros(len(merged) + 1, np.int64)
         if BODY in keys and len(keys[BODY]):
-            said = of[BODY][2]
-            total = int(counts[BODY].sum())
-            flat = np.fromiter(itertools.chain.from_iterable(said[i] for i in np.argsort(keys[BODY]).tolist()), np.int64, total)
+            by = np.argsort(keys[BODY])
+            own = counts[BODY][by]
+            begin = (np.cumsum(counts[BODY]) - counts[BODY])[by]
+            flat = np.array(of[BODY][3])[np.repeat(begin - np.cumsum(own) + own, own) + np.arange(int(own.sum()))]
             body_ends[1:] = np.cumsum(tf[:, fields.index(BODY)])
         code = merged // len(ids)
         starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
@@ -169,24 +170,32 @@ def _packed(fields: list[int], rows: int = 1 << 18):
         columns = [terms, pa.array(first), pa.array(np.diff(cuts).astype(np.int32)), *nothing, _blobs(rest, cuts), _blobs(tf.ravel(), cuts * len(fields)), _blobs(flat, body_ends[cuts])]
         yield pa.RecordBatch.from_arrays(columns, RUN_NAMES)
 
+    def fresh() -> tuple[list[int | None], dict[str, int], dict[int, tuple[array, array, array, array]], int]:
+        """ids, codes of terms, for each field the number of terms in each text, their codes, their counts and all places (as plain numbers:
+        a list for each posting took most of a block's memory), and the size so far."""
+        return [], {}, {f: tuple(array("i") for _ in range(4)) for f in fields}, 0
+
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, of, size = [], {f: ([], [], []) for f in fields}, 0
+        ids, codes, of, size = fresh()
         for part in batches:
             for i in range(part.num_rows):  # one text at a time: a batch may hold ten thousand long ones
                 ids.append(part.column(0)[i].as_py())
                 for at, field in enumerate(fields, 1):
                     text = part.column(at)[i].as_py()
                     found = T.term_places(text) if text else {}
-                    n_terms, terms, places = of[field]
+                    n_terms, terms, many, places = of[field]
                     n_terms.append(len(found))
-                    terms += found
-                    places += found.values()
-                    size += len(found) + (sum(map(len, found.values())) >> 2)
+                    terms.extend([codes.setdefault(t, len(codes)) for t in found])
+                    many.extend(map(len, found.values()))
+                    before = len(places)
+                    places.extend(itertools.chain.from_iterable(found.values()))
+                    size += len(found) + (len(places) - before >> 2)
                 if size >= rows or len(ids) >= rows:
-                    yield from block(ids, of)
-                    ids, of, size = [], {f: ([], [], []) for f in fields}, 0
+                    yield from block(ids, codes, of)
+                    ids, codes, of, size = fresh()
         if ids:
-            yield from block(ids, of)
+            yield from block(ids, codes, of)
 
     return run
 
@@ -206,6 +215,7 @@ def _unpacked(fields: list[int], rows: int = 1 << 17):
         terms = runs.column("term").take(pa.array(np.repeat(np.arange(len(n)), n)))
         return pa.RecordBatch.from_arrays([terms, ids, *tf, places], ["term", "doc_id", *TF, "positions"])
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             part = part.filter(part.column("term").is_valid())
@@ -288,7 +298,8 @@ def write_relations(docs: DataFrame, docs_path: str, postings_path: str, lite: b
     """
     fields, texts = _texts(docs, lite)
     # written as they come first: sampling the bounds of the range partitions would else tokenize everything twice
-    runs = materialize(texts.mapInArrow(_packed(fields), RUNS), "runs")
+    with short_batches(docs.sparkSession):
+        runs = materialize(texts.mapInArrow(_packed(fields), RUNS), "runs")
     placed = runs.where("term is not null").drop(*LEN)
     if ordered:
         placed = placed.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
