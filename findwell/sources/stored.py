@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-FILES = 4
+FILES, JOINED = 8, 4
 _local: dict[str, str] = {}
 
 
@@ -35,11 +35,16 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str, few: bool = False) -> DataFrame:
-    """Writes to the shared folder and reads back. few: for tables of short rows; a task writes several partitions one after the other into one
-    file, so there are at most ``FILES`` files a core, however many partitions the session has."""
+    """Writes to the shared folder and reads back. few: for tables of short rows; where the session has many more partitions than
+    cores, a task writes up to ``JOINED`` of them (more only below ``FILES`` files a core) one after the other into one file. So a task's share
+    does not grow with the input."""
     spark = df.sparkSession
     path = new_path(spark, f"table-{label}")
-    (df.coalesce(FILES * spark.sparkContext.defaultParallelism) if few else df).write.parquet(path)
+    if few:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        files = max(FILES * spark.sparkContext.defaultParallelism, -(-parts // JOINED))
+        df = df.coalesce(files) if parts >= 2 * files else df
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
